@@ -52,11 +52,12 @@ def basename(path="path") -> Column:
     return F.substring_index(_col(path), "/", -1)
 
 
-def dirname(path="path") -> Column:
+def dirname(path="path", base=None) -> Column:
     """Folder part; ``.`` for a file at the root."""
     p = _col(path)
-    cut = F.length(p) - F.length(basename(p)) - 1
-    return F.when(F.contains(p, F.lit("/")), F.substr(p, F.lit(1), cut)).otherwise(F.lit("."))
+    base = basename(p) if base is None else base
+    cut = F.length(p) - F.length(base) - 1
+    return F.when(cut < 0, F.lit(".")).otherwise(F.left(p, cut))
 
 
 def extension(path="path") -> Column:
@@ -64,11 +65,6 @@ def extension(path="path") -> Column:
     return F.regexp_extract(basename(path), r"^.+(\.[^.]*)$", 1)
 
 
-def stem(path="path") -> Column:
-    base = basename(path)
-    return F.substr(base, F.lit(1), F.length(base) - F.length(extension(path)))
-
-
 def language(path="path") -> Column:
     """Language of the lowercased extension, ``Unknown`` if it is not in the table."""
     table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
@@ -86,7 +82,7 @@ def is_supported(path="path") -> Column:
 
 
 def has_segment(segments, path="path") -> Column:
-    return F.arrays_overlap(F.split(_col(path), "/"), F.array(*[F.lit(s) for s in segments]))
+    return _col(path).rlike(f"(^|/)({_any_of(segments)})(/|$)")
 
 
 def is_source(path="path") -> Column:
@@ -99,24 +95,26 @@ def is_churn_free(path="path", tool_dir=TOOL_DIR) -> Column:
     return basename(p).isin(CHURN_FREE_NAMES) | p.endswith(".md") | p.startswith(tool_dir + "/")
 
 
-def relevance(path="path") -> Column:
-    """Additive score. The marks are substring tests on purpose: ``test`` also hits ``latest``."""
-    p = _col(path)
-    base, folder = basename(p), dirname(p)
+def relevance(path="path", base="base", folder="folder") -> Column:
+    """Additive score from the path, its base name and its folder, which the caller computes once as columns.
+
+    The marks are substring tests on purpose: ``test`` also hits ``latest``.
+    """
+    path, base, folder = _col(path), _col(base), _col(folder)
 
     def points(condition, value):
         return F.when(condition, F.lit(float(value))).otherwise(F.lit(0.0))
 
-    readme = base.isin("README.md", "README.mdx")
-    depth = F.when(folder == ".", F.lit(0)).otherwise(F.size(F.split(folder, "/")))
+    depth = F.when(folder == ".", F.lit(0)).otherwise(F.length(folder) - F.length(F.replace(folder, F.lit("/"))) + 1)
+    stem = F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
     return (
-        points(base.isin(ALWAYS_INCLUDE) & (~readme | (folder == ".")), 100)
-        + points(F.lower(p).rlike(_any_of(BUSINESS_WORDS)), 60)
+        points(base.isin(ALWAYS_INCLUDE) & (~base.isin("README.md", "README.mdx") | (folder == ".")), 100)
+        + points(F.lower(path).rlike(_any_of(BUSINESS_WORDS)), 60)
         + points(folder.rlike(_any_of(VALUED_DIRS)), 40)
-        + points(stem(p).isin(ENTRY_POINTS) | base.isin(ENTRY_POINTS), 50)
-        + points(F.contains(base, F.lit(".config.")) | F.contains(base, F.lit(".setup.")), 30)
+        + points(stem.isin(ENTRY_POINTS) | base.isin(ENTRY_POINTS), 50)
+        + points(base.rlike(r"\.(config|setup)\."), 30)
         - depth * F.lit(1.5)
-        - points(base.rlike(r"\.test\.|\.spec\.") | folder.rlike("__tests__|test"), 10)
+        - points(base.rlike(r"\.(test|spec)\.") | folder.rlike("__tests__|test"), 10)
     )
 
 

@@ -1,0 +1,90 @@
+"""Managed blocks in files ``(repo, path, content)``: upsert, removal, appended references."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text
+
+START, END = "<!-- gitgauge:begin -->", "<!-- gitgauge:end -->"
+SHEBANGS = ["", "#!/bin/sh", "#!/usr/bin/env sh"]
+
+
+def managed_block_upsert(files: DataFrame, blocks: DataFrame, start=START, end=END) -> DataFrame:
+    """Puts each block (with its marks) into its file and says what was done.
+
+    No file: created. Start mark present: text up to the end mark behind it is replaced, up to the end of the text
+    if that mark is missing. Else: appended after two newlines. Files without a block stay as they are.
+    """
+    joined = files.join(blocks, ["repo", "path"], "full_outer")
+    before = F.substring_index("content", start, 1)
+    rest = F.substr("content", F.length(before) + len(start) + 1)
+    tail_at = F.instr(rest, end)
+    tail = F.when(tail_at > 0, F.substr(rest, tail_at + len(end))).otherwise(F.lit(""))
+    has_mark = F.contains("content", F.lit(start))
+    content = (
+        F.when(F.col("block").isNull(), F.col("content"))
+        .when(F.col("content").isNull(), F.concat("block", F.lit("\n")))
+        .when(has_mark, F.concat(before, "block", tail))
+        .otherwise(F.concat("content", F.lit("\n\n"), "block", F.lit("\n")))
+    )
+    action = (
+        F.when(F.col("block").isNull(), "kept").when(F.col("content").isNull(), "created").otherwise("updated")
+    )
+    return joined.select("repo", "path", action.alias("action"), content.alias("content"))
+
+
+def managed_block_remove(files: DataFrame, mark=START, keep_word="husky") -> DataFrame:
+    """Takes the managed section out of each file.
+
+    A file with the mark and without ``keep_word`` is deleted. Otherwise lines go from a marked line through the next
+    blank line, and a file that is then empty or only a shebang is deleted.
+    """
+    lines = text.lines_of("content")
+    places = F.filter(
+        F.transform(F.col("lines"), lambda line, i: F.struct(
+            i.alias("at"), F.contains(line, F.lit(mark)).alias("marked"),
+            (F.length(text.trimmed(line)) == 0).alias("blank"))),
+        lambda p: p.marked | p.blank,
+    )
+    blanks = F.transform(F.filter("places", lambda p: p.blank), lambda p: p.at)
+    sections = F.transform(F.filter("places", lambda p: p.marked), lambda p: F.struct(
+        p.at.alias("first"),
+        F.coalesce(F.try_element_at(F.filter("blanks", lambda b: b > p.at), F.lit(1)), F.size("lines")).alias("last")))
+    left = F.filter(F.col("lines"), lambda line, i: ~F.exists("sections", lambda s: (i >= s.first) & (i <= s.last)))
+    cut = (
+        files.withColumn("lines", lines).withColumn("places", places).withColumn("blanks", blanks)
+        .withColumn("sections", sections).withColumn("left", text.trimmed(F.array_join(left, "\n")))
+    )
+    whole = F.contains("content", F.lit(mark)) & ~F.contains("content", F.lit(keep_word))
+    gone = whole | F.col("left").isin(SHEBANGS)
+    return cut.select(
+        "repo", "path", F.when(gone, "deleted").otherwise("rewritten").alias("action"),
+        F.when(~gone, F.concat("left", F.lit("\n"))).alias("content"),
+    )
+
+
+def spec_reference(slug):
+    """(needle, text) of the line that points an agent to a spec."""
+    spec = F.concat(F.lit("**Active Spec:** Read `.gitgauge/specs/"), slug, F.lit(".md`"))
+    return spec, F.concat(F.lit("---\n\n"), spec, F.lit(" before implementing this feature.\n"))
+
+
+def reference_append(files: DataFrame, refs: DataFrame) -> DataFrame:
+    """Appends the spec references ``refs(repo, path, slug)`` that a file does not hold yet, in slug order.
+
+    The separator depends on a trailing newline; a missing file is skipped. References are gathered per file because
+    they all end up in its one text.
+    """
+    needle, line = spec_reference(F.col("slug"))
+    wanted = refs.select("repo", "path", F.struct("slug", needle.alias("needle"), line.alias("line")).alias("ref"))
+    wanted = wanted.groupBy("repo", "path").agg(F.sort_array(F.collect_set("ref")).alias("refs"))
+
+    def append(content, ref):
+        gap = F.when(content.endswith("\n"), F.lit("\n")).otherwise(F.lit("\n\n"))
+        return F.when(F.contains(content, ref.needle), content).otherwise(F.concat(content, gap, ref.line))
+
+    changed = F.aggregate("refs", F.col("content"), append)
+    return files.join(wanted, ["repo", "path"]).select(
+        "repo", "path", F.when(changed == F.col("content"), "kept").otherwise("updated").alias("action"),
+        changed.alias("content"),
+    )

@@ -48,9 +48,8 @@ def joined_lines(df: DataFrame, keys, line, order, spread=None, lead=None, bucke
         bucket = lead.cast("bigint") * 1_000_000 + bucket
     fields = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line"))
     return (
-        df.select(*keys, fields.alias("_item"), *_needed(df, keys))
-        .join(totals, list(keys))
-        .withColumn("part", F.when(big, bucket).otherwise(F.lit(0)).cast("bigint"))
+        df.join(totals, list(keys))
+        .select(*keys, F.when(big, bucket).otherwise(F.lit(0)).cast("bigint").alias("part"), fields.alias("_item"))
         .groupBy(*keys, "part")
         .agg(F.sort_array(F.collect_list("_item")).alias("_items"))
         .select(
@@ -58,8 +57,3 @@ def joined_lines(df: DataFrame, keys, line, order, spread=None, lead=None, bucke
             F.array_join(F.col("_items.line"), sep).alias("text"),
         )
     )
-
-
-def _needed(df, keys):
-    # bucket, lead and spread are expressions over the input columns; Catalyst drops what they do not use
-    return [c for c in df.columns if c not in keys]

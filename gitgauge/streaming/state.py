@@ -1,0 +1,48 @@
+"""State of a stream as plain parquet folders: one small change set per batch, now and then a full copy.
+
+A batch writes only its own folder, and writes it again with the same content when it is replayed; so a lost driver or
+executor costs nothing but a repeat. The state is read as the newest full copy plus the change sets after it.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class StateTable:
+    def __init__(self, spark: SparkSession, path: str, schema: str, fold, copy_every=20):
+        """``fold`` turns the rows of all batches into the rows that still count, for example the latest per key."""
+        self.spark, self.path, self.schema, self.fold, self.copy_every = spark, path, schema, fold, copy_every
+
+    def _written(self, kind):
+        """Batch numbers of finished folders."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(f"{self.path}/{kind}")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        names = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]
+        return sorted(int(p.getName()) for p in names if fs.exists(hadoop.Path(p, "_SUCCESS")))
+
+    def current(self, before=None) -> DataFrame:
+        """Folded state, of all batches or of those before one."""
+        limit = float("inf") if before is None else before
+        full = [b for b in self._written("full") if b < limit][-1:]
+        start = full[0] if full else -1
+        parts = [f"{self.path}/full/{b}" for b in full]
+        parts += [f"{self.path}/delta/{b}" for b in self._written("delta") if start < b < limit]
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        return self.fold(self.spark.read.schema(self.schema).parquet(*parts))
+
+    def append(self, batch_id: int, rows: DataFrame):
+        rows.write.mode("overwrite").parquet(f"{self.path}/delta/{batch_id}")
+        if (batch_id + 1) % self.copy_every == 0:
+            self.current(batch_id + 1).write.mode("overwrite").parquet(f"{self.path}/full/{batch_id}")
+
+
+def run_available(stream: DataFrame, handler, checkpoint: str):
+    """Runs ``handler(batch, batch_id)`` over everything that is there, then stops."""
+    query = (
+        stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
