@@ -322,12 +322,12 @@ def oracle_sql():
     sql["relevance_score"] = _with(SELECTED, "SELECT repo, path, score FROM scored")
     implementation = """
         implementation AS (
-          SELECT repo, path, language, score, content, row_number() OVER (PARTITION BY repo ORDER BY score DESC, path) AS rank
+          SELECT * EXCLUDE rank, row_number() OVER (PARTITION BY repo ORDER BY score DESC, path) AS rank
           FROM selected
           WHERE NOT regexp_matches(lower(path), '(^|/)(index\\.ts|index\\.js|package\\.json)$')
             AND (score > 50 OR regexp_matches(lower(path), '\\.(controller|service|resolver|dto|guard|middleware|decorator|'
                                               || 'filter|pipe|interceptor|entity|model)\\.'))
-          QUALIFY rank <= 12)"""
+          QUALIFY row_number() OVER (PARTITION BY repo ORDER BY score DESC, path) <= 12)"""
     sql["implementation_files"] = _with(SELECTED + "," + implementation, "SELECT repo, path, score, rank FROM implementation")
     sql["source_change_gate"] = _with(COMMITS + "," + TOUCHES, """
         SELECT repo, commit_id, EXISTS (
@@ -391,9 +391,9 @@ def oracle_sql():
             path, l_linenumber AS seq, '+++ b/' || path || ' ' || p_name AS line
           FROM heads JOIN line_paths ON l_orderkey = head_hash),
         parts AS (
-          SELECT repo, string_agg(line, chr(10) ORDER BY seq) FILTER (kind = 'staged') AS s,
-            string_agg(line, chr(10) ORDER BY seq) FILTER (kind = 'unstaged') AS u,
-            string_agg(line, chr(10) ORDER BY seq) FILTER (kind = 'committed') AS c
+          SELECT repo, string_agg(line, chr(10) ORDER BY seq, line) FILTER (kind = 'staged') AS s,
+            string_agg(line, chr(10) ORDER BY seq, line) FILTER (kind = 'unstaged') AS u,
+            string_agg(line, chr(10) ORDER BY seq, line) FILTER (kind = 'committed') AS c
           FROM tree GROUP BY repo),
         listed AS (
           SELECT repo, string_agg(path, chr(10) ORDER BY path) AS paths
