@@ -1,9 +1,10 @@
-"""Two shapes that recur and must survive a group that holds a third of all rows."""
+"""Shapes that recur and must survive a group that holds a third of all rows."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 32
+MAX_BROADCAST_ROWS = 500_000
 
 
 def top_k(df: DataFrame, keys, order, k: int, spread, rank="rank", salts=SALTS) -> DataFrame:
@@ -26,6 +27,16 @@ def top_k(df: DataFrame, keys, order, k: int, spread, rank="rank", salts=SALTS)
     )
 
 
+def broadcast_if_bounded(df: DataFrame, groups: DataFrame, k: int, max_rows=MAX_BROADCAST_ROWS) -> DataFrame:
+    """Marks a top-k result for broadcast if it is proven small: it has at most k rows per distinct row of ``groups``.
+
+    The check reads the group columns only. Above the bound the join stays a shuffle join. Without the mark Spark would
+    shuffle the big side of the join before it learns how small this one is.
+    """
+    n = groups.distinct().limit(max_rows // k + 1).count()
+    return F.broadcast(df) if n * k <= max_rows else df
+
+
 def spread_bucket(spread, total, max_lines: int) -> Column:
     """Even bucket number for the rows of an oversized group; md5 keeps it stable on every engine."""
     digits = F.conv(F.substring(F.md5(spread), 1, 8), 16, 10).cast("bigint")

@@ -121,7 +121,7 @@ def prompt_assemble(files: DataFrame, doc_type="context") -> DataFrame:
 
 def pattern_prompt(selected: DataFrame, files: DataFrame, n=12, lines=200) -> DataFrame:
     """Prompt for the patterns document: code of the best implementation files instead of summaries."""
-    code = with_content(implementation_files(selected, n), files).filter(F.length("content") > 0)
+    code = with_content(implementation_files(selected, n), files, n).filter(F.length("content") > 0)
     block = F.concat(
         F.lit("### "), "path", F.lit(" ("), "language", F.lit(")\n```"), F.lower("language"), F.lit("\n"),
         text.head_excerpt("content", lines), F.lit("\n```"),

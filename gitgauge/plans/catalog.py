@@ -20,7 +20,7 @@ def _selected(t):
 
 
 def _hot(t):
-    return history.hot_files(t.commits(), t.touches_coarse())
+    return history.hot_files(t.commits(), t.coarse_rows())
 
 
 def _history_text(t):
@@ -132,7 +132,7 @@ VIEW_QUERIES = {
     "supported_filter": lambda t: scan.supported_filter(scan.file_inventory(t.files())).select("repo", "path"),
     "relevance_score": lambda t: scan.relevance_score(scan.file_inventory(t.files())).select("repo", "path", "score"),
     "implementation_files": lambda t: scan.implementation_files(_selected(t)).select("repo", "path", "score", "rank"),
-    "source_change_gate": lambda t: history.source_change_gate(t.commits(), t.touches()),
+    "source_change_gate": lambda t: history.source_change_gate(t.commits(), t.touch_rows()),
     # top-k and batches
     "adaptive_top_n": _selected,
     "last_n_commits": lambda t: history.last_n_commits(t.commits()).select("repo", "commit_id", "ts", "rank"),

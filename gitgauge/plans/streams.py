@@ -25,10 +25,9 @@ class StreamTables(Tables):
 
 def stream_refresh(t: Tables):
     commits = StreamTables(t.spark, t.dir, {"orders"}).commits().select("repo", "commit_id", "ts")
-    files = t.touch_rows("p_name").groupBy("commit_id", "path").agg(F.max("p_name").alias("name"))
-    contents = files.select(
+    contents = t.touch_rows("p_name").select(
         "commit_id", "path", paths.language().alias("language"),
-        F.concat(F.lit("export const part = '"), "name", F.lit("'\nreturn part")).alias("content"))
+        F.concat(F.lit("export const part = '"), "p_name", F.lit("'\nreturn part")).alias("content"))
     summaries, _ = jobs.stream_refresh(commits, contents, shared_dir(t.spark, "refresh"))
     return summaries.select("repo", "path", "commit_id", "summary")
 
@@ -37,7 +36,7 @@ def stream_hot_files(t: Tables):
     """Touches come as one stream, commits as another one, so that commits without files count too."""
     columns = ["repo", "commit_id", "ts", "path"]
     ids = t.commits().select("repo", "commit_id", "ts")
-    touched = StreamTables(t.spark, t.dir, {"lineitem"})._touched(F.lit("src/")).join(ids, "commit_id").select(*columns)
+    touched = StreamTables(t.spark, t.dir, {"lineitem"}).coarse_rows().join(ids, "commit_id").select(*columns)
     commits = StreamTables(t.spark, t.dir, {"orders"}).commits().select(
         "repo", "commit_id", "ts", F.lit(None).cast("string").alias("path"))
     return jobs.stream_hot_files(touched.unionByName(commits), shared_dir(t.spark, "hot"))

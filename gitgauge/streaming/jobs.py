@@ -8,8 +8,9 @@ replayed batch changes nothing.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..operators import history, requests, runlog
-from ..operators.groups import top_k
+from ..operators.groups import MAX_BROADCAST_ROWS, top_k
 from .state import StateTable, run_available
 
 def _newest_commits(n):
@@ -70,15 +71,17 @@ def stream_refresh(commits: DataFrame, contents: DataFrame, folder: str, client_
 
     def handler(batch, batch_id):
         batch = batch.persist()
-        gate = history.source_change_gate(batch, contents).filter("refresh").select("repo", "commit_id")
-        due = batch.join(gate, ["repo", "commit_id"])
+        events = F.broadcast(batch) if batch.count() <= MAX_BROADCAST_ROWS else batch
+        touched = contents.join(events, "commit_id")
+        gate = touched.groupBy("repo", "commit_id").agg(F.bool_or(paths.is_source()).alias("go"))
+        due = gate.filter("go").select("repo", "commit_id")
         file = F.max(F.struct("ts", "commit_id", "language", "content")).alias("f")
-        newest = due.join(contents, "commit_id").groupBy("repo", "path").agg(file).select("repo", "path", "f.*")
+        newest = touched.join(due, ["repo", "commit_id"]).groupBy("repo", "path").agg(file).select("repo", "path", "f.*")
         made = requests.batch_summarize(newest, client_factory)
         summaries.append(batch_id, newest.select("repo", "path", "ts", "commit_id").join(made, ["repo", "path"]))
         broken = summaries.spark.read.schema(summaries.schema).parquet(f"{summaries.path}/delta/{batch_id}")
         broken = broken.filter(F.col("error").isNotNull()).select("repo", "commit_id").distinct()
-        ended = due.join(broken.withColumn("bad", F.lit(True)), ["repo", "commit_id"], "left")
+        ended = batch.join(due, ["repo", "commit_id"]).join(broken.withColumn("bad", F.lit(True)), ["repo", "commit_id"], "left")
         status = F.array(F.lit("STARTED"), F.when(F.col("bad").isNull(), "SUCCESS").otherwise("FAILED"))
         log.append(batch_id, ended.select("repo", "commit_id", "ts", F.explode(status).alias("status")))
         batch.unpersist()
