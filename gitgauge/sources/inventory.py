@@ -1,46 +1,125 @@
-"""Files on a file system as tables."""
+"""Files of many repositories as tables: a listing source, and a reader for the content of chosen files.
 
+Spark's own file sources skip names that start with an underscore (``__init__.py``, ``__tests__/``), so the listing is a
+Python data source. Folders are the units of work: executors walk them, the driver sees two levels of folders only.
+"""
+
+import posixpath
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import paths
 
+SCHEMA = "repo string, path string, size bigint, modified_at timestamp"
+BATCH_ROWS = 10_000
+BATCH_BYTES = 32 << 20
+
+
+def _open(root):
+    """File system and base folder of a URI or an absolute path."""
+    system, base = pafs.FileSystem.from_uri(root)
+    return system, base.rstrip("/")
+
+
+def _children(system, folder):
+    infos = system.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    return [i for i in infos if i.type == pafs.FileType.File], [i.path for i in infos if i.type == pafs.FileType.Directory]
+
+
+class Folder(InputPartition):
+    """A folder to walk, or only the files directly in it."""
+
+    def __init__(self, repo, home, folder, deep):
+        self.repo, self.home, self.folder, self.deep = repo, home, folder, deep
+
+
+class RepoFiles(DataSource):
+    """``spark.read.format("repo_files").option("path", root)``: one row per file, content not read.
 
-def _relative(root):
-    """Path below ``root`` from a file URI; the first segment below a multi-repository root names the repository."""
-    return F.regexp_extract(F.url_decode(F.regexp_replace("uri", r"\+", "%2B")), rf"{root.rstrip('/')}/(.*)$", 1)
+    ``root`` holds one folder per repository, or is one repository if option ``repo`` names it.
+    """
+
+    @classmethod
+    def name(cls):
+        return "repo_files"
+
+    def schema(self):
+        return SCHEMA
+
+    def reader(self, schema):
+        return RepoFilesReader(self.options)
+
+
+class RepoFilesReader(DataSourceReader):
+    def __init__(self, options):
+        self.root, self.repo = options["path"], options.get("repo")
 
+    def partitions(self):
+        system, base = _open(self.root)
+        homes = [(self.repo, base)] if self.repo else [(posixpath.basename(d), d) for d in _children(system, base)[1]]
+        work = []
+        for repo, home in homes:
+            work.append(Folder(repo, home, home, deep=False))
+            work += [Folder(repo, home, d, deep=True) for d in _children(system, home)[1]]
+        return work
 
-def _split_repo(df: DataFrame, root, repo):
-    below = df.withColumn("below", _relative(root))
-    if repo is not None:
-        return below.withColumn("repo", F.lit(repo)).withColumnRenamed("below", "path")
-    return (
-        below.withColumn("repo", F.substring_index("below", "/", 1))
-        .withColumn("path", F.substr("below", F.length("repo") + 2))
-    )
+    def read(self, partition):
+        system, _ = _open(self.root)
+        todo, rows = [partition.folder], []
+        while todo:
+            files, folders = _children(system, todo.pop())
+            for f in files:
+                rows.append((partition.repo, f.path[len(partition.home) + 1:], f.size, f.mtime))
+                if len(rows) == BATCH_ROWS:
+                    yield self._batch(rows)
+                    rows = []
+            if partition.deep:
+                todo += folders
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows):
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.timestamp("us", tz="UTC")]
+        names = ["repo", "path", "size", "modified_at"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def list_files(spark: SparkSession, root: str, repo=None, include_hidden=False) -> DataFrame:
-    """``files(repo, path, size, modified_at)`` of everything below ``root``. Content is not read.
+    spark.dataSource.register(RepoFiles)
+    source = spark.read.format("repo_files").option("path", root)
+    listed = (source.option("repo", repo) if repo else source).load()
+    return listed if include_hidden else listed.filter(~paths.is_hidden())
+
+
+def read_content(files: DataFrame, root: str, single_repo=False, partitions=None) -> DataFrame:
+    """Adds ``content`` to the rows ``(repo, path)`` of files below ``root``, null for what cannot be read.
 
-    ``root`` holds one folder per repository, or is one repository if ``repo`` is given.
+    Only the files asked for are opened, so this comes after the selection. The rows are dealt evenly over the tasks, and a
+    task hands its text on in batches of limited size.
     """
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .select(F.col("path").alias("uri"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
-    )
-    out = _split_repo(listed, root, repo)
-    if not include_hidden:
-        out = out.filter(~paths.is_hidden())
-    return out.select("repo", "path", "size", "modified_at")
-
-
-def read_content(spark: SparkSession, root: str, repo=None) -> DataFrame:
-    """``content(repo, path, content)`` of the text files below ``root``; files that vanish meanwhile are skipped."""
-    texts = (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true").text(root)
-        .select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("content"))
-    )
-    return _split_repo(texts, root, repo).select("repo", "path", "content")
+
+    def read(batches):
+        system, base = _open(root)
+        for batch in batches:
+            bodies, held, start = [], 0, 0
+            for at, (repo, path) in enumerate(zip(batch["repo"], batch["path"]), 1):
+                name = f"{base}/{path}" if single_repo else f"{base}/{repo}/{path}"
+                try:
+                    with system.open_input_stream(name) as stream:
+                        bodies.append(stream.read().decode("utf-8", "replace"))
+                    held += len(bodies[-1])
+                except OSError:
+                    bodies.append(None)
+                if held >= BATCH_BYTES or at == len(batch):
+                    yield batch.iloc[start:at].assign(content=bodies)
+                    bodies, held, start = [], 0, at
+
+    keys = files.select("repo", "path")
+    spread = [F.xxhash64("repo", "path")]
+    dealt = keys.repartition(partitions, *spread) if partitions else keys.repartition(*spread)
+    return dealt.mapInPandas(read, "repo string, path string, content string")
