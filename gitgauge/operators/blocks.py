@@ -4,11 +4,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .requests import TARGETS
 
 START, END = "<!-- gitgauge:begin -->", "<!-- gitgauge:end -->"
+LEGACY_CURSOR = ".cursor/rules"
 SHEBANGS = ["", "#!/bin/sh", "#!/usr/bin/env sh"]
 
 
+def agent_paths(files: DataFrame, targets=TARGETS) -> DataFrame:
+    """(repo, target, path) of the agents a repository is set up for, from its files including hidden ones.
+
+    One agent has a new and an old place for its file; the old one is used only where there is no new one.
+    """
+    places = [(name, path, 0) for name, path, _ in targets] + [("cursor", LEGACY_CURSOR, 1)]
+    known = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(p).alias("path"), F.lit(o).alias("age")) for t, p, o in places])
+    hit = F.filter(known, lambda k: k.path == F.col("path"))
+    found = files.select("repo", F.explode(hit).alias("k"))
+    return found.groupBy("repo", F.col("k.target").alias("target")).agg(
+        F.min_by("k.path", "k.age").alias("path"))
+
+
+def instruction_blocks(agents: DataFrame, heads: DataFrame, today: str, start=START, end=END) -> DataFrame:
+    """Block (with its marks) for each agent file: where the stored context lies and which commit it belongs to."""
+    title = F.when(F.col("target") == "claude-code", "## Repository context").otherwise("# Repository context")
+    commit = F.substring(F.col("head_hash").cast("string"), 1, 8)
+    body = F.concat_ws(
+        "\n", F.lit(start), title, F.lit(""),
+        F.lit("Load the repository context at the start of every session: call `load_context`, or read"),
+        *[F.lit(f"- .gitgauge/{name}.md") for name in ("context", "patterns", "dependency-map")],
+        F.lit(""), F.concat(F.lit(f"Last updated: {today} | Git: "), commit), F.lit(end),
+    )
+    return agents.join(heads, "repo").select("repo", "path", body.alias("block"))
+
+
 def managed_block_upsert(files: DataFrame, blocks: DataFrame, start=START, end=END) -> DataFrame:
     """Puts each block (with its marks) into its file and says what was done.
 

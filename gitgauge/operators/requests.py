@@ -22,6 +22,8 @@ TARGETS = [
 ]
 # characters of the file, answer tokens
 TIERS = {"brief": (3000, 150), "deep": (6000, 500)}
+# answer tokens of each document
+DOC_BUDGETS = {"context": 4096, "dependency-map": 4000, "patterns": 4000, "handoff": 3000}
 TOKENS_PER_FILE = 500
 DOC_TOKENS = {"context": 5000, "dependency-map": 3000, "patterns": 3000}
 DISPLAY_FACTOR = 1.4
@@ -54,27 +56,13 @@ def summary_prompt(tier="brief"):
     )
 
 
-def batch_summarize(files: DataFrame, client_factory=None, tier="brief", partitions=None) -> DataFrame:
-    """Summary of each file ``(repo, path, language, content)`` as (repo, path, summary, tokens, error).
+def ask_model(prompts: DataFrame, keys, client_factory, tier, max_tokens, temperature, partitions=None) -> DataFrame:
+    """Answer to each ``prompt`` as (keys, answer, tokens, error).
 
-    With ``client_factory`` each task makes one client and calls
-    ``client.generate(prompt, tier="fast", max_tokens=..., temperature=0.3)``, which returns (text, tokens). A failed
-    call fills ``error`` for its row and no other. Files are dealt evenly over ``partitions`` tasks. Empty or unreadable
-    files get no summary and cost nothing.
+    Each task makes one client and calls ``client.generate(prompt, tier, max_tokens, temperature)``, which returns
+    (text, tokens). A failed call fills ``error`` for its row and no other; a null prompt is not asked. The rows are dealt
+    evenly over ``partitions`` tasks.
     """
-    prompts = files.select("repo", "path", "language", "content", summary_prompt(tier).alias("prompt"))
-    readable = F.length("content") > 0
-    if client_factory is None:
-        return prompts.select(
-            "repo", "path", text.default_summary("content", "language").alias("summary"),
-            F.when(readable, text.token_estimate("prompt")).otherwise(F.lit(0)).cast("bigint").alias("tokens"),
-            F.lit(None).cast("string").alias("error"),
-        )
-    asked = prompts.select("repo", "path", F.when(readable, F.col("prompt")).alias("prompt"))
-    spread = [F.xxhash64("repo", "path")]
-    asked = asked.repartition(partitions, *spread) if partitions else asked.repartition(*spread)
-    max_tokens = TIERS[tier][1]
-    repo_type = files.schema["repo"].dataType.simpleString()
 
     def call(batches):
         client = client_factory()
@@ -85,15 +73,53 @@ def batch_summarize(files: DataFrame, client_factory=None, tier="brief", partiti
                     answers.append((None, 0, None))
                     continue
                 try:
-                    summary, used = client.generate(prompt, tier="fast", max_tokens=max_tokens, temperature=0.3)
-                    answers.append((summary, used, None))
-                except Exception as failure:  # one bad file must not fail the job
+                    answer, used = client.generate(prompt, tier=tier, max_tokens=max_tokens, temperature=temperature)
+                    answers.append((answer, used, None))
+                except Exception as failure:  # one bad row must not fail the job
                     answers.append((None, 0, f"{type(failure).__name__}: {failure}"))
-            out = batch[["repo", "path"]].copy()
-            out["summary"], out["tokens"], out["error"] = (list(x) for x in zip(*answers)) if answers else ([], [], [])
+            out = batch[keys].copy()
+            for i, name in enumerate(("answer", "tokens", "error")):
+                out[name] = [a[i] for a in answers]
             yield out
 
-    return asked.mapInPandas(call, f"repo {repo_type}, path string, summary string, tokens bigint, error string")
+    asked = prompts.select(*keys, "prompt")
+    spread = [F.xxhash64(*keys)]
+    asked = asked.repartition(partitions, *spread) if partitions else asked.repartition(*spread)
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema if f.name != "prompt"]
+    return asked.mapInPandas(call, ", ".join([*types, "answer string", "tokens bigint", "error string"]))
+
+
+def batch_summarize(files: DataFrame, client_factory=None, tier="brief", partitions=None) -> DataFrame:
+    """Summary of each file ``(repo, path, language, content)`` as (repo, path, summary, tokens, error).
+
+    Without a client a column expression makes the summary and the tokens are those of the prompt. Empty or unreadable
+    files get no summary and cost nothing.
+    """
+    prompts = files.select("repo", "path", "language", "content", summary_prompt(tier).alias("prompt"))
+    readable = F.length("content") > 0
+    if client_factory is None:
+        return prompts.select(
+            "repo", "path", text.default_summary("content", "language").alias("summary"),
+            F.when(readable, text.token_estimate("prompt")).otherwise(F.lit(0)).cast("bigint").alias("tokens"),
+            F.lit(None).cast("string").alias("error"),
+        )
+    asked = prompts.withColumn("prompt", F.when(readable, F.col("prompt")))
+    answers = ask_model(asked, ["repo", "path"], client_factory, "fast", TIERS[tier][1], 0.3, partitions)
+    return answers.withColumnRenamed("answer", "summary")
+
+
+def write_documents(prompts: DataFrame, doc_type: str, client_factory=None, partitions=None) -> DataFrame:
+    """Document of each repository from its prompt ``(repo, prompt)`` as (repo, doc_type, content, token_count, error).
+
+    Without a client the document is the assembled prompt itself.
+    """
+    if client_factory is None:
+        made = prompts.select("repo", F.col("prompt").alias("answer"), text.token_estimate("prompt").alias("tokens"),
+                              F.lit(None).cast("string").alias("error"))
+    else:
+        made = ask_model(prompts, ["repo"], client_factory, "mid", DOC_BUDGETS[doc_type], 0.5, partitions)
+    return made.select("repo", F.lit(doc_type).alias("doc_type"), F.col("answer").alias("content"),
+                       F.col("tokens").alias("token_count"), "error")
 
 
 def _prompts(blocks: DataFrame, task) -> DataFrame:

@@ -6,6 +6,7 @@ from ..functions import text
 from ..operators import blocks, cache, corpus, health, history, links, requests, runlog, scan
 from ..sources import ignore_rules, settings, specs
 from . import streams
+from .context import build_context
 from .views import Tables
 
 NOW = "1998-12-31 12:00:00"
@@ -112,6 +113,16 @@ def _summaries(t):
     return requests.batch_summarize(scan.with_content(_selected(t), t.files()))
 
 
+def _build(t):
+    documents, _, _ = build_context(t.files(), t.file_heads(), t.file_docs(), t.summary_cache(), t.changed(), now=NOW)
+    return documents
+
+
+def _blocks(t):
+    agents = blocks.agent_paths(t.nation_agent_files())
+    return blocks.instruction_blocks(agents, history.heads(t.commits()), NOW[:10])
+
+
 VIEW_QUERIES = {
     # sources and stores
     "file_inventory": lambda t: scan.file_inventory(t.files()),
@@ -160,6 +171,7 @@ VIEW_QUERIES = {
     "token_estimate": lambda t: corpus.token_totals(t.docs_corpus()),
     "credential_scan": lambda t: corpus.credential_scan(t.docs_corpus(), TOKEN_RULE, TOKEN_PREFIXES),
     "credential_counts": lambda t: corpus.credential_counts(t.docs_corpus(), TOKEN_RULE, TOKEN_PREFIXES),
+    "instruction_blocks": _blocks,
     "managed_block_upsert": lambda t: blocks.managed_block_upsert(t.agent_files(), t.blocks(), "<!-- S -->", "<!-- E -->"),
     "managed_block_remove": lambda t: blocks.managed_block_remove(t.agent_files(), "<!-- S -->", " the "),
     "reference_append": lambda t: blocks.reference_append(
@@ -169,6 +181,7 @@ VIEW_QUERIES = {
     "complete_doc_set": lambda t: cache.complete_doc_set(history.heads(t.commits()), t.docs()),
     "incremental_plan": _incremental,
     "load_context": _context,
+    "build_context": _build,
     # requests and costs
     "batch_summarize": lambda t: _summaries(t).drop("error"),
     "prompt_assemble": lambda t: requests.prompt_assemble(_summarised(t)),

@@ -462,6 +462,16 @@ def oracle_sql():
         FROM secrets""")
     sql["credential_counts"] = _with(secrets, """
         SELECT repo, kind, count(*) AS findings, count(DISTINCT doc_id) AS docs FROM secrets GROUP BY repo, kind""")
+    sql["instruction_blocks"] = _with(COMMITS, """,
+        agents AS (
+          SELECT n_nationkey AS repo, 'CLAUDE.md' AS path, '## ' AS mark FROM nation WHERE n_regionkey <= 3
+          UNION ALL SELECT n_nationkey, '.cursorrules', '# ' FROM nation WHERE n_regionkey > 1
+          UNION ALL SELECT n_nationkey, '.windsurfrules', '# ' FROM nation WHERE n_regionkey = 0)
+        SELECT repo, path, concat_ws(chr(10), '<!-- gitgauge:begin -->', mark || 'Repository context', '',
+            'Load the repository context at the start of every session: call `load_context`, or read',
+            '- .gitgauge/context.md', '- .gitgauge/patterns.md', '- .gitgauge/dependency-map.md', '',
+            'Last updated: 1998-12-31 | Git: ' || left(CAST(head_hash AS VARCHAR), 8), '<!-- gitgauge:end -->') AS block
+        FROM agents JOIN heads USING (repo)""")
     sql["managed_block_upsert"] = _with(AGENT_FILES, """
         SELECT repo, path, CASE WHEN block IS NULL THEN 'kept' WHEN content IS NULL THEN 'created' ELSE 'updated' END AS action,
           CASE WHEN block IS NULL THEN content
@@ -538,7 +548,7 @@ def oracle_sql():
         f'''list_filter({file_lines}, lambda x: starts_with({_TRIM.format('x')}, 'export ')
             OR starts_with({_TRIM.format('x')}, 'exports.') OR starts_with({_TRIM.format('x')}, 'module.exports')
             OR starts_with(x, 'def ') OR starts_with(x, 'class '))''')} ELSE {exported} END"""
-    sql["batch_summarize"] = _with(SELECTED, f""",
+    summarised = f""",
         cut AS (
           SELECT *, len({file_lines}) AS n, {code_exports} AS exports,
             CASE WHEN len({file_lines}) <= 200 THEN content
@@ -551,12 +561,14 @@ def oracle_sql():
           SELECT *, '{brief}' || {nl} || {nl} || 'File: ' || path || {nl} || {nl} || '```' || lower(language) || {nl}
             || substr(body, 1, 3000) || CASE WHEN n > 200 OR length(body) > 3000 THEN ' ...(truncated)' ELSE '' END
             || {nl} || '```' || {nl} AS prompt
-          FROM cut)
+          FROM cut),
+        fresh AS (
         SELECT repo, path,
           CASE WHEN content = '' THEN NULL WHEN exports <> '' THEN exports
                ELSE array_to_string(string_split_regex({_TRIM.format('content')}, '\\s+')[1:50], ' ') END AS summary,
           CASE WHEN content = '' THEN 0 ELSE CAST(ceil(length(prompt) / 4) AS BIGINT) END AS tokens
-        FROM prompts""")
+        FROM prompts)"""
+    sql["batch_summarize"] = _with(SELECTED + summarised, "SELECT * FROM fresh")
     told = "coalesce(nullif(summary, ''), 'No summary available')"
     sql["prompt_assemble"] = _with(CACHED, f"""
         SELECT repo, count(*) AS n_files, '{context_task}' || {nl} || {nl} || {_PROMPT_BLOCKS} AS prompt
@@ -575,6 +587,24 @@ def oracle_sql():
                 || {nl} || '```' AS block
               FROM implementation WHERE content <> '')
         GROUP BY repo""")
+    sql["build_context"] = _with(CACHED + summarised + "," + implementation, f""",
+        known AS (
+          SELECT t.repo, t.path, t.language, t.rank,
+            coalesce(nullif(CASE WHEN t.summary IS NULL OR d.source = 'src7' THEN f.summary ELSE t.summary END, ''),
+                     'No summary available') AS summary
+          FROM told t JOIN files USING (repo, path) JOIN documents d ON d.doc_id = files.file_id JOIN fresh f USING (repo, path)),
+        made AS (
+          SELECT repo, 'context' AS doc_type, '{context_task}' || {nl} || {nl} || {_PROMPT_BLOCKS} AS content
+          FROM (SELECT repo, rank, '### ' || path || ' (' || language || ')' || {nl} || summary AS block FROM known) GROUP BY repo
+          UNION ALL
+          SELECT repo, 'dependency-map', '{dep_task}' || {nl} || {nl} || {_PROMPT_BLOCKS}
+          FROM (SELECT repo, rank, '### ' || path || {nl} || summary AS block FROM known
+                WHERE NOT lower(path) LIKE '%readme.md') GROUP BY repo
+          UNION ALL
+          SELECT repo, 'patterns', prompt FROM ({sql["prompt_patterns"].split("implementation AS", 1)[1].split("<= 12)", 1)[1]}))
+        SELECT repo, doc_type, content, (SELECT max(doc_id) FROM documents WHERE lang = repo) AS commit_hash,
+          TIMESTAMP '{NOW}' AS saved_at, CAST(ceil(length(content) / 4) AS BIGINT) AS token_count
+        FROM made WHERE repo <> 'fr'""")
     sql["message_split"] = """
         SELECT conv_id, 'system' AS kind, CAST(0 AS BIGINT) AS pos, 'system' AS role,
           string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text

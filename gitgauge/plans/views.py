@@ -96,6 +96,14 @@ class Tables:
         labels = self.table("labels").select(F.col("doc_id").alias("file_id"), told.alias("summary"))
         return self.files().join(labels, "file_id").select("repo", "path", "summary")
 
+    def file_docs(self) -> DataFrame:
+        """Stored documents of the repositories of ``files``: the French one is complete at its head, the Spanish one of an
+        old commit, the others have none."""
+        kinds = F.array(F.lit("context"), F.lit("dependency-map"), F.lit("patterns"))
+        commit = F.col("head_hash") - F.when(F.col("repo") == "es", 1).otherwise(0)
+        return self.file_heads().filter(F.col("repo").isin("fr", "es")).select(
+            "repo", F.explode(kinds).alias("doc_type"), F.lit("stored").alias("content"), commit.alias("commit_hash"))
+
     def changed(self) -> DataFrame:
         """Files that changed since the cached commit: those of one source."""
         d = self.table("documents").filter(F.col("source") == "src7").select(F.col("doc_id").alias("file_id"))
