@@ -40,6 +40,18 @@ def cached_hash(docs: DataFrame) -> DataFrame:
     return docs.groupBy("repo").agg(F.max(newest).alias("n")).select("repo", F.col("n.commit_hash").alias("cached_hash"))
 
 
+def latest_docs(docs: DataFrame, *fields) -> DataFrame:
+    """One row per repository: the aggregates ``fields`` over the documents of its newest hash, and ``cached_hash``.
+
+    Folds per hash and then per repository, so the documents are read once and joined with nothing.
+    """
+    per_hash = docs.groupBy("repo", "commit_hash").agg(F.max("saved_at").alias("last"), *fields)
+    names = [c for c in per_hash.columns if c not in ("repo", "commit_hash", "last")]
+    newest = F.max_by(F.struct("commit_hash", *[F.col(f"`{c}`") for c in names]), F.struct("last", "commit_hash"))
+    return per_hash.groupBy("repo").agg(newest.alias("d")).select(
+        "repo", F.col("d.commit_hash").alias("cached_hash"), *[F.col(f"d.`{c}`").alias(c) for c in names])
+
+
 def cache_validity(heads: DataFrame, docs: DataFrame) -> DataFrame:
     return heads.join(cached_hash(docs), "repo", "left").select(
         "repo", "head_hash", "cached_hash", F.equal_null("head_hash", "cached_hash").alias("valid")
@@ -90,13 +102,9 @@ def load_context(heads: DataFrame, docs: DataFrame, alerts: DataFrame, force_ref
     content is null and must be made. ``alerts`` is the output of ``alert_text``; an alert of several parts is
     announced by its line count, its text stays in ``alerts``.
     """
-    latest = docs.join(cached_hash(docs).withColumnRenamed("cached_hash", "commit_hash"), ["repo", "commit_hash"])
-    pivot = latest.groupBy("repo", F.col("commit_hash").alias("cached_hash")).agg(
-        *[F.max(F.when(F.col("doc_type") == t, F.col("content"))).alias(t) for t in REQUIRED_DOCS]
-    )
+    pivot = latest_docs(docs, *[F.max(F.when(F.col("doc_type") == t, F.col("content"))).alias(t) for t in REQUIRED_DOCS])
     told = alerts.groupBy("repo").agg(
-        F.sum("n_lines").cast("bigint").alias("alert_files"), F.count(F.lit(1)).alias("alert_parts")
-    ).join(alerts.filter("part = 0").select("repo", "text"), "repo", "left")
+        F.sum("n_lines").cast("bigint").alias("alert_files"), F.count(F.lit(1)).alias("alert_parts"), F.min("text").alias("text"))
     context, deps, patterns = (F.col(f"`{t}`") for t in REQUIRED_DOCS)
     combined = F.concat(
         F.lit("# Repository Context\n\n"), context, F.lit("\n\n---\n\n# Dependency Map\n\n"), deps,

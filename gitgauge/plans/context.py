@@ -20,14 +20,15 @@ def build_context(files: DataFrame, heads: DataFrame, docs: DataFrame, summaries
         complete = cache.complete_doc_set(heads, docs).filter("complete").select("repo")
         todo = heads.join(complete, "repo", "left_anti")
     files = files.join(todo.select("repo"), "repo", "left_semi")
-    selected = scan.adaptive_top_n(scan.file_inventory(files), max_files)
+    # the selection and the summaries are small next to the files and are read several times: each is computed once
+    selected = written(scan.adaptive_top_n(scan.file_inventory(files), max_files), "selection")
+    on = ["repo", "path"]
     plan = cache.incremental_plan(selected, summaries, changed)
-    redo = selected.join(plan.filter("action = 'summarise'").select("repo", "path"), ["repo", "path"], "left_semi")
+    redo = selected.join(plan.filter("action = 'summarise'").select(*on), on, "left_semi")
     fresh = requests.batch_summarize(scan.with_content(redo, files, max(scan.LARGEST_SHARE, max_files)), client_factory)
-    if client_factory is not None:
-        fresh = written(fresh, "summaries")  # a model is asked once, however often the summaries are read
-    known = cache.merged_summaries(plan, fresh)
-    told = selected.join(known, ["repo", "path"], "left")
+    known = plan.filter("action = 'reuse'").select(*on, "summary", F.lit(0).cast("bigint").alias("tokens")).unionByName(
+        fresh.select(*on, "summary", "tokens"))
+    told = written(selected.join(known, on, "left"), "summaries")
     prompts = {
         "context": requests.prompt_assemble(told), "dependency-map": requests.prompt_assemble(told, "dependency-map"),
         "patterns": requests.pattern_prompt(selected, files),
@@ -41,6 +42,6 @@ def build_context(files: DataFrame, heads: DataFrame, docs: DataFrame, summaries
     documents = made.filter(F.col("error").isNull()).join(todo.select("repo", F.col("head_hash").alias("commit_hash")), "repo").select(
         "repo", "doc_type", "content", "commit_hash", F.lit(now).cast("timestamp_ntz").alias("saved_at"), "token_count")
     spent = made.select("repo", "doc_type", F.lit("mid").alias("tier"), F.col("token_count").alias("tokens")).unionByName(
-        fresh.select("repo", F.lit("summaries").alias("doc_type"), F.lit("fast").alias("tier"), "tokens"))
+        told.select("repo", F.lit("summaries").alias("doc_type"), F.lit("fast").alias("tier"), "tokens"))
     costs = requests.cost_rollup(spent, requests.price_table(files.sparkSession))
-    return documents, known, costs
+    return documents, told.select(*on, "summary"), costs

@@ -25,12 +25,11 @@ class Tables:
 
     def files(self) -> DataFrame:
         """Corpus of files; sixteen path shapes cover every score term, ignored folders and odd extensions."""
-        shapes = F.broadcast(self.spark.createDataFrame(
-            [(i, *shape) for i, shape in enumerate(PATH_SHAPES)], "shape int, head string, tail string"))
-        docs = self.table("documents").withColumn("shape", (F.col("doc_id") % len(PATH_SHAPES)).cast("int"))
-        return docs.join(shapes, "shape").select(
+        heads, tails = (F.array(*[F.lit(x) for x in part]) for part in zip(*PATH_SHAPES))
+        shape = (F.col("doc_id") % len(PATH_SHAPES) + 1).cast("int")
+        return self.table("documents").select(
             F.col("doc_id").alias("file_id"), F.col("lang").alias("repo"),
-            F.concat("head", F.col("doc_id").cast("string"), "tail").alias("path"),
+            F.concat(F.element_at(heads, shape), F.col("doc_id").cast("string"), F.element_at(tails, shape)).alias("path"),
             F.col("text").alias("content"), F.col("n_chars").alias("size"),
         )
 

@@ -73,6 +73,13 @@ def test_filters(frame):
         ("a.mjs",), ("a.ts",), ("go.mod",), ("x/gitgauge/a.ts",), ("x/notgitgauge/a.ts",)]
 
 
+def test_supported_is_the_same_as_known_extension(frame):
+    names = ["md", ".md", "a.md", "x/.md", "x/md", "a.b.ts", "a.", "a.TS", "ts.x", "x.md/y", "x.md/y.c", "..ts", "a/..ts"]
+    df = frame("path string", *[(n,) for n in names])
+    by_extension = paths.extension().isin(paths.SUPPORTED_EXTENSIONS) | paths.basename().isin(paths.ALWAYS_INCLUDE)
+    assert tuples(df.filter(paths.is_supported())) == tuples(df.filter(by_extension))
+
+
 def test_language_ignores_case(frame):
     df = frame("repo string, path string, size bigint", ("r", "a.TS", 3), ("r", "b.ts", 4), ("r", "c.zig", 5))
     assert tuples(scan.language_profile(df)) == [("r", "TypeScript", 2, 7), ("r", "Unknown", 1, 5)]
