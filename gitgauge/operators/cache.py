@@ -17,7 +17,11 @@ def doc_store_upsert(store: DataFrame, new: DataFrame) -> DataFrame:
     A save under another commit hash discards every document of the old one; under the same hash it replaces the
     document of its type. So a repository keeps the documents of its last hash that were saved after any other hash.
     """
-    both = store.unionByName(new)
+    return doc_store_fold(store.unionByName(new))
+
+
+def doc_store_fold(both: DataFrame) -> DataFrame:
+    """``doc_store_upsert`` over all saves in one frame, in the order of ``saved_at``."""
     saves = both.groupBy("repo", "commit_hash").agg(F.max("saved_at").alias("last"))
     two = top_k(saves, ["repo"], [F.desc("last"), F.desc("commit_hash")], 2, spread=["commit_hash"])
     current = two.groupBy("repo").agg(
@@ -35,6 +39,12 @@ def doc_store_upsert(store: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def summary_store_upsert(store: DataFrame, new: DataFrame) -> DataFrame:
+    """Summaries ``(repo, path, summary)`` after a save: a repository that was scanned again keeps none of its old ones."""
+    scanned = new.select("repo").distinct()
+    return store.join(scanned, "repo", "left_anti").unionByName(new)
+
+
 def cached_hash(docs: DataFrame) -> DataFrame:
     newest = F.struct("saved_at", "commit_hash")
     return docs.groupBy("repo").agg(F.max(newest).alias("n")).select("repo", F.col("n.commit_hash").alias("cached_hash"))

@@ -154,6 +154,11 @@ VIEW_QUERIES = {
     "work_batches": lambda t: scan.work_batches(_selected(t)),
     # history
     "churn_exclude": lambda t: history.churn_exclude(t.touches()),
+    "changed_in_head": lambda t: history.changed_in_head(t.commits(), t.touch_rows()),
+    "changed_since": lambda t: history.changed_since(
+        t.commits(), t.touch_rows(),
+        history.heads(t.commits().filter("message = '1-URGENT'"), "ts").withColumnsRenamed(
+            {"head_hash": "cached_hash", "ts": "cached_ts"})),
     "hot_files": _hot,
     "hot_summary": lambda t: history.hot_summary(_hot(t), t.repos()),
     "pending_alerts": _pending,
@@ -180,6 +185,8 @@ VIEW_QUERIES = {
     "cache_validity": lambda t: cache.cache_validity(history.heads(t.commits()), t.docs(ranks=(1,))),
     "complete_doc_set": lambda t: cache.complete_doc_set(history.heads(t.commits()), t.docs()),
     "incremental_plan": _incremental,
+    "summary_store_upsert": lambda t: cache.summary_store_upsert(
+        t.summary_cache(), _incremental(t).filter("repo in ('fr', 'de')").select("repo", "path", "summary")),
     "load_context": _context,
     "build_context": _build,
     # requests and costs

@@ -356,6 +356,11 @@ def oracle_sql():
 
     # --- history
     sql["churn_exclude"] = _with(TOUCHES, "SELECT * FROM touches WHERE path NOT LIKE '%.md'")
+    sql["changed_in_head"] = _with(COMMITS + "," + TOUCHES, """
+        SELECT repo, path FROM heads JOIN touches ON commit_id = head_hash""")
+    sql["changed_since"] = _with(COMMITS + "," + TOUCHES, """
+        SELECT DISTINCT c.repo, path FROM newest c JOIN touches USING (commit_id)
+        WHERE c.rank < (SELECT min(rank) FROM newest u WHERE u.repo = c.repo AND u.message = '1-URGENT')""")
     sql["hot_files"] = _with(HOT, "SELECT * FROM hot")
     sql["hot_summary"] = _with(HOT, """
         SELECT n_nationkey AS repo, count(path) > 0 AS detected, CAST(10 AS BIGINT) AS commits_analyzed,
@@ -524,6 +529,11 @@ def oracle_sql():
           CASE WHEN NOT redo THEN summary END AS summary
         FROM (SELECT t.*, t.summary IS NULL OR d.source = 'src7' AS redo
               FROM told t JOIN files f USING (repo, path) JOIN documents d ON d.doc_id = f.file_id)""")
+    sql["summary_store_upsert"] = _with(CACHED, """
+        SELECT * FROM stored WHERE repo NOT IN (SELECT repo FROM selected WHERE repo IN ('fr', 'de'))
+        UNION ALL
+        SELECT repo, path, CASE WHEN d.source <> 'src7' THEN summary END
+        FROM told t JOIN files f USING (repo, path) JOIN documents d ON d.doc_id = f.file_id WHERE repo IN ('fr', 'de')""")
     sql["load_context"] = _with(
         DOCS + "," + PENDING.replace(COMMITS + ",", "", 1) + "," + ALERT.format(hot="(SELECT hot.* FROM hot JOIN due USING (repo))"),
         """,

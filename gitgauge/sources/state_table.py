@@ -1,0 +1,59 @@
+"""A table kept as plain parquet folders: one small change set per version, now and then a full copy.
+
+A version writes only its own folder, and writes it again with the same content when it is repeated; so a lost driver or
+executor costs nothing but a repeat. The table is read as the newest full copy plus the change sets after it, so a small
+change never rewrites the whole store.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class StateTable:
+    def __init__(self, spark: SparkSession, path: str, schema: str, fold, copy_every=20):
+        """``fold`` turns the rows of all versions into the rows that still count, for example the latest per key."""
+        self.spark, self.path, self.schema, self.fold, self.copy_every = spark, path, schema, fold, copy_every
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _folder(self, kind, version=""):
+        return self._hadoop.Path(f"{self.path}/{kind}/{version}".rstrip("/"))
+
+    def _versions(self, kind):
+        root = self._folder(kind)
+        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(root)) if self._fs.exists(root) else []
+
+    def _done(self, kind, version):
+        return self._fs.exists(self._hadoop.Path(self._folder(kind, version), "_SUCCESS"))
+
+    def _parts(self, before):
+        """Newest finished full copy and the finished change sets after it, below a version."""
+        full = next((v for v in reversed(self._versions("full")) if v < before and self._done("full", v)), -1)
+        deltas = [v for v in self._versions("delta") if full < v < before and self._done("delta", v)]
+        return full, deltas
+
+    def last_version(self):
+        full, deltas = self._parts(float("inf"))
+        return max([full, *deltas])
+
+    def current(self, before=float("inf")) -> DataFrame:
+        """Folded table, of all versions or of those before one."""
+        full, deltas = self._parts(before)
+        paths = [f"{self.path}/full/{full}"] if full >= 0 else []
+        paths += [f"{self.path}/delta/{v}" for v in deltas]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.fold(self.spark.read.schema(self.schema).parquet(*paths))
+
+    def append(self, version: int, rows: DataFrame):
+        rows.write.mode("overwrite").parquet(f"{self.path}/delta/{version}")
+        if (version + 1) % self.copy_every == 0:
+            self.replace(version, self.current(version + 1))
+
+    def replace(self, version: int, rows: DataFrame):
+        """Full copy as of a version. Folders that no replay of this version can need are deleted."""
+        older, _ = self._parts(version)
+        rows.write.mode("overwrite").parquet(f"{self.path}/full/{version}")
+        for kind in ("full", "delta"):
+            for v in self._versions(kind):
+                if v < older or (kind == "delta" and v == older):
+                    self._fs.delete(self._folder(kind, v), True)

@@ -11,7 +11,21 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import history, requests, runlog
 from ..operators.groups import MAX_BROADCAST_ROWS, top_k
-from .state import StateTable, run_available
+from ..sources.state_table import StateTable
+
+def run_available(stream: DataFrame, handler, checkpoint: str):
+    """Runs ``handler(batch, batch_id)`` over everything that is there, then stops."""
+    query = (
+        stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
+def broadcast_if_few(batch: DataFrame) -> DataFrame:
+    """Marks a persisted micro-batch for broadcast if it is small."""
+    return F.broadcast(batch) if batch.count() <= MAX_BROADCAST_ROWS else batch
+
 
 def _newest_commits(n):
     """Fold for ``(repo, commit_id, ts, path)``: rows of the newest n commits of each repository, once each.
@@ -71,8 +85,7 @@ def stream_refresh(commits: DataFrame, contents: DataFrame, folder: str, client_
 
     def handler(batch, batch_id):
         batch = batch.persist()
-        events = F.broadcast(batch) if batch.count() <= MAX_BROADCAST_ROWS else batch
-        touched = contents.join(events, "commit_id")
+        touched = contents.join(broadcast_if_few(batch), "commit_id")
         gate = touched.groupBy("repo", "commit_id").agg(F.bool_or(paths.is_source()).alias("go"))
         due = gate.filter("go").select("repo", "commit_id")
         file = F.max(F.struct("ts", "commit_id", "language", "content")).alias("f")
@@ -97,8 +110,11 @@ def stream_alert_once(lines: DataFrame, folder: str) -> DataFrame:
         lines.sparkSession, f"{folder}/delivered", f"repo {typed['repo']}, commit_hash string", lambda rows: rows)
 
     def handler(batch, batch_id):
-        raised = runlog.alert_marks(batch).filter(~F.col("shown")).select("repo", "commit_hash")
-        told.append(batch_id, raised.join(told.current(batch_id), ["repo", "commit_hash"], "left_anti"))
+        raised = runlog.alert_marks(batch).filter(~F.col("shown")).select("repo", "commit_hash").persist()
+        # the few alerts of the batch thin out what was delivered, so that the whole history is not shuffled
+        known = told.current(batch_id).join(broadcast_if_few(raised), ["repo", "commit_hash"], "left_semi")
+        told.append(batch_id, raised.join(known, ["repo", "commit_hash"], "left_anti"))
+        raised.unpersist()
 
     run_available(lines, handler, f"{folder}/checkpoint")
     return told.current()

@@ -4,6 +4,7 @@ import pytest
 from conftest import tuples
 
 from gitgauge.operators import cache, health
+from gitgauge.sources.doc_store import DocStore
 
 DOCS = "repo string, doc_type string, content string, commit_hash string, saved_at timestamp_ntz, token_count bigint"
 HEADS = "repo string, head_hash string"
@@ -131,3 +132,24 @@ def test_health_in_between(frame):
     assert checks(frame, files=9)["file_scan_sanity"] == ("warn", "only 9 files scanned")
     late = checks(frame, [doc("context", "h1", 0)], now="2024-01-08 00:00:00")
     assert late["context_freshness"] == ("fail", "7 days old (stale)")
+
+
+def test_doc_store_on_disk(spark, frame, tmp_path):
+    store = DocStore(spark, str(tmp_path / "docs"), copy_every=3)
+    saves = [doc("context", "h1", 1), doc("patterns", "h1", 2), doc("context", "h2", 3, "q"), doc("context", "h2", 4), doc("patterns", "h1", 5)]
+    want = {1: 1, 2: 2, 3: 3, 4: 2, 5: 2}
+    for i, save in enumerate(saves, 1):
+        store.save(frame(DOCS, save))
+        assert store.load().count() == want[i]
+    assert tuples(store.load(), "repo", "doc_type", "commit_hash") == [("q", "context", "h2"), ("r", "patterns", "h1")]
+    store.invalidate(frame("repo string", ("r",)))
+    assert tuples(store.load(), "repo") == [("q",)]
+    store.save(frame(DOCS, doc("context", "h9", 9)))
+    assert tuples(store.load(), "repo", "commit_hash") == [("q", "h2"), ("r", "h9")]
+
+
+def test_summaries_of_a_scanned_repository_are_replaced(frame):
+    schema = "repo string, path string, summary string"
+    store = frame(schema, ("a", "x", "1"), ("a", "y", "1"), ("b", "x", "1"))
+    got = cache.summary_store_upsert(store, frame(schema, ("a", "x", "2"), ("c", "z", "2")))
+    assert tuples(got) == [("a", "x", "2"), ("b", "x", "1"), ("c", "z", "2")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gitgauge.operators import history
 from gitgauge.streaming import jobs
-from gitgauge.streaming.state import StateTable
+from gitgauge.sources.state_table import StateTable
 
 EVENTS = "repo string, commit_id bigint, ts timestamp_ntz, path string"
 
@@ -51,15 +51,17 @@ def test_hot_files_go_on_after_a_stop(spark, frame, tmp_path):
     assert tuples(got) == tuples(fresh)
 
 
-def test_state_survives_replays_and_keeps_full_copies(spark, frame, tmp_path):
+def test_state_survives_replays_and_forgets_what_is_copied(spark, frame, tmp_path):
     newest = lambda df: df.groupBy("k").agg(F.max("v").alias("v"))
     state = StateTable(spark, str(tmp_path / "s"), "k string, v bigint", newest, copy_every=2)
-    assert state.current().count() == 0
-    for batch in (0, 1, 1, 2, 3, 4, 4):
+    assert state.current().count() == 0 and state.last_version() == -1
+    for batch in (0, 1, 1, 2, 3, 3, 4, 5, 5, 6):
         state.append(batch, frame("k string, v bigint", ("a", batch), (f"b{batch}", 1)))
-    assert tuples(state.current()) == [("a", 4), *[(f"b{i}", 1) for i in range(5)]]
-    assert tuples(state.current(2)) == [("a", 1), ("b0", 1), ("b1", 1)]
-    assert state._written("full") == [1, 3]
+    assert tuples(state.current()) == [("a", 6), *[(f"b{i}", 1) for i in range(7)]]
+    assert tuples(state.current(5)) == [("a", 4), *[(f"b{i}", 1) for i in range(5)]]
+    assert state._versions("full") == [3, 5] and state._versions("delta") == [4, 5, 6]
+    (tmp_path / "s/delta/6/_SUCCESS").unlink()  # an unfinished folder does not count
+    assert ("a", 5) in tuples(state.current())
 
 
 class Client:
