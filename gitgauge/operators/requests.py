@@ -230,10 +230,11 @@ def cost_rollup(usage: DataFrame, prices: DataFrame) -> DataFrame:
     ).filter(F.col("provider").isNotNull())
 
 
-def cost_estimate(selected: DataFrame, provider="anthropic") -> DataFrame:
-    """Expected tokens per repository by step, and the total with its price; ``buffered`` is what is displayed."""
+def cost_estimate(sizes: DataFrame, provider="anthropic") -> DataFrame:
+    """Expected tokens by step for repositories ``(repo, selected_files)``, and the total with its price; ``buffered`` is
+    what is displayed. Repositories without files are left out."""
     price = {(p, t): usd for p, t, usd in PRICES}[provider, "mid"]
-    n = selected.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    n = sizes.filter(F.col("selected_files") > 0).select("repo", F.col("selected_files").alias("n"))
     fixed = sum(DOC_TOKENS.values())
     step = lambda label, tokens: F.struct(F.lit(label).alias("label"), tokens.cast("bigint").alias("tokens"))
     steps = [step("file summaries", F.col("n") * TOKENS_PER_FILE)]

@@ -20,6 +20,10 @@ def _selected(t):
     return scan.adaptive_top_n(scan.file_inventory(t.files()))
 
 
+def _sizes(t):
+    return scan.selection_sizes(scan.file_inventory(t.files()))
+
+
 def _hot(t):
     return history.hot_files(t.commits(), t.coarse_rows())
 
@@ -139,7 +143,7 @@ VIEW_QUERIES = {
         _specs(t).select("repo", F.col("last_line").alias("task")).distinct()),
     # projection, predicates, scores
     "language_profile": lambda t: scan.language_profile(scan.file_inventory(t.files())),
-    "scan_summary": lambda t: scan.scan_summary(scan.file_inventory(t.files()), _selected(t), t.file_heads(), NOW),
+    "scan_summary": lambda t: scan.scan_summary(_sizes(t), t.file_heads(), NOW),
     "supported_filter": lambda t: scan.supported_filter(scan.file_inventory(t.files())).select("repo", "path"),
     "relevance_score": lambda t: scan.relevance_score(scan.file_inventory(t.files())).select("repo", "path", "score"),
     "implementation_files": lambda t: scan.implementation_files(_selected(t)).select("repo", "path", "score", "rank"),
@@ -198,7 +202,7 @@ VIEW_QUERIES = {
     "request_fanout": lambda t: requests.request_fanout(_stacks(t)),
     "spec_prompt": _spec_requests,
     "cost_rollup": lambda t: requests.cost_rollup(_usage(t), requests.price_table(t.spark)),
-    "cost_estimate": lambda t: requests.cost_estimate(_selected(t)),
+    "cost_estimate": lambda t: requests.cost_estimate(_sizes(t)),
     # links
     "link_edges": _edges,
     "external_usage": lambda t: links.external_usage(_edges(t)),

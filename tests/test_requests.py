@@ -90,8 +90,8 @@ def test_costs(spark, frame):
 
 
 def test_estimate(frame):
-    sel = frame("repo string, path string", *[("r", str(i)) for i in range(23)])
-    got = {r.label: (r.tokens, r.buffered_tokens, r.usd) for r in requests.cost_estimate(sel).collect()}
+    sizes = frame("repo string, selected_files bigint", ("r", 23), ("empty", 0))
+    got = {r.label: (r.tokens, r.buffered_tokens, r.usd) for r in requests.cost_estimate(sizes).collect()}
     assert got["file summaries"] == (11_500, 16_100, None) and got["context"] == (5000, 7000, None)
     assert got["total"] == (22_500, 31_500, 0.0675)
 

@@ -152,11 +152,21 @@ def test_batches(frame):
 
 
 def test_summary_without_head(frame):
-    inv = frame("repo string, path string, size bigint", ("r", "a", 1), ("r", "b", 1))
-    sel = frame("repo string, path string", ("q", "a"))
-    heads = frame("repo string, head_hash string")
-    got = tuples(scan.scan_summary(inv, sel, heads, "2024-01-02 03:04:05"), "repo", "total_files", "selected_files", "head_hash")
-    assert got == [("r", 2, 0, "no-git")]
+    inv = frame("repo string, path string, size bigint", ("r", "a.ts", 1), ("r", "b", 1), ("q", "b", 1))
+    heads = frame("repo string, head_hash string", ("q", "h"))
+    got = tuples(scan.scan_summary(scan.selection_sizes(inv), heads, "2024-01-02 03:04:05"),
+                 "repo", "total_files", "selected_files", "head_hash")
+    assert got == [("q", 1, 0, "h"), ("r", 2, 1, "no-git")]
+
+
+def test_sizes_are_those_of_the_selection(spark):
+    files = spark.range(9000).select(
+        F.concat(F.lit("r"), (F.sqrt("id") / 7).cast("int").cast("string")).alias("repo"), F.lit(1).cast("bigint").alias("size"),
+        F.concat(F.element_at(F.array(*[F.lit(x) for x in ("src/api/f", "x/gitgauge/f", "x/y/f", "f")]), (F.col("id") % 4 + 1).cast("int")),
+                 F.col("id").cast("string"), F.when(F.col("id") % 5 < 3, ".ts").otherwise(".bin")).alias("path"))
+    chosen = scan.adaptive_top_n(files).groupBy("repo").count()
+    sizes = scan.selection_sizes(files).filter("selected_files > 0").select("repo", "selected_files")
+    assert tuples(chosen) == tuples(sizes)
 
 
 def test_content_join_both_ways(frame, monkeypatch):
