@@ -35,19 +35,23 @@ class StateTable:
         full, deltas = self._parts(float("inf"))
         return max([full, *deltas])
 
-    def current(self, before=float("inf")) -> DataFrame:
-        """Folded table, of all versions or of those before one."""
-        full, deltas = self._parts(before)
+    def _read(self, full, deltas):
         paths = [f"{self.path}/full/{full}"] if full >= 0 else []
         paths += [f"{self.path}/delta/{v}" for v in deltas]
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         return self.fold(self.spark.read.schema(self.schema).parquet(*paths))
 
+    def current(self, before=float("inf")) -> DataFrame:
+        """Folded table, of all versions or of those before one."""
+        return self._read(*self._parts(before))
+
     def append(self, version: int, rows: DataFrame):
         rows.write.mode("overwrite").parquet(f"{self.path}/delta/{version}")
         if (version + 1) % self.copy_every == 0:
-            self.replace(version, self.current(version + 1))
+            # from the parts before this version, so that a replay never reads the copy it writes
+            full, deltas = self._parts(version)
+            self.replace(version, self._read(full, [*deltas, version]))
 
     def replace(self, version: int, rows: DataFrame):
         """Full copy as of a version. Folders that no replay of this version can need are deleted."""

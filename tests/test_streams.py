@@ -56,6 +56,7 @@ def test_state_survives_replays_and_forgets_what_is_copied(spark, frame, tmp_pat
     state = StateTable(spark, str(tmp_path / "s"), "k string, v bigint", newest, copy_every=2)
     assert state.current().count() == 0 and state.last_version() == -1
     for batch in (0, 1, 1, 2, 3, 3, 4, 5, 5, 6):
+        assert tuples(state.current(batch)) == ([("a", batch - 1), *[(f"b{i}", 1) for i in range(batch)]] if batch else [])
         state.append(batch, frame("k string, v bigint", ("a", batch), (f"b{batch}", 1)))
     assert tuples(state.current()) == [("a", 6), *[(f"b{i}", 1) for i in range(7)]]
     assert tuples(state.current(5)) == [("a", 4), *[(f"b{i}", 1) for i in range(5)]]
