@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 SALTS = 32
 MAX_BROADCAST_ROWS = 500_000
+LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def top_k(df: DataFrame, keys, order, k: int, spread, rank="rank", salts=SALTS) -> DataFrame:
@@ -12,8 +13,12 @@ def top_k(df: DataFrame, keys, order, k: int, spread, rank="rank", salts=SALTS)
 
     ``order`` must be total. ``spread`` names columns that differ inside a group. The literal k lets Spark
     put a WindowGroupLimit before each shuffle; the first window runs per (group, salt), so a hot group is cut
-    to k rows in many tasks, and the second one sees at most ``salts * k`` rows of it.
+    to k rows in many tasks, and the second one sees at most ``salts * k`` rows of it. Spark does this only for limits up
+    to a setting, which is raised in the session for a larger k.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get(LIMIT_CONF)) < k:
+        conf.set(LIMIT_CONF, str(k))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     near = Window.partitionBy(*keys, "_salt").orderBy(*order)
     far = Window.partitionBy(*keys).orderBy(*order)

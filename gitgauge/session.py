@@ -36,7 +36,7 @@ def local_session(cores="*", shuffle_partitions=8, memory="8g", app="gitgauge"):
 
 def shared_dir(spark, purpose):
     """A new folder below ``spark.checkpoint.dir``. A temporary folder stands in only on a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from gitgauge.operators import history
 from gitgauge.plans.catalog import VIEW_QUERIES, queries
 
 
@@ -43,3 +44,9 @@ def test_big_sides_are_not_shuffled_when_the_other_is_proven_small(spark, sf_dir
 
 def test_single_column_queries_read_single_columns(spark, sf_dir):
     assert re.findall(r"ReadSchema: struct<([^>]*)>", plan(spark, sf_dir, "token_estimate")) == ["text:string,lang:string"]
+
+
+def test_large_limits_are_cut_before_the_shuffle_too(frame):
+    df = frame("repo string, kind string, seq bigint, line string", ("r", "staged", 1, "x"))
+    text = history.diff_text(df, 8000)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"WindowGroupLimit .*Final", text)) == 2
