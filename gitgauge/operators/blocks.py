@@ -7,8 +7,13 @@ from ..functions import text
 from .requests import TARGETS
 
 START, END = "<!-- gitgauge:begin -->", "<!-- gitgauge:end -->"
+# --- fixed values -----------------------------------------------------------------------------------
 LEGACY_CURSOR = ".cursor/rules"
 SHEBANGS = ["", "#!/bin/sh", "#!/usr/bin/env sh"]
+SPEC_RULE = "---\n\n"
+SPEC_CALL = "**Active Spec:** Read `"
+SPEC_PURPOSE = " before implementing this feature.\n"
+# --- end of fixed values ----------------------------------------------------------------------------
 
 
 def agent_paths(files: DataFrame, targets=TARGETS) -> DataFrame:
@@ -66,23 +71,16 @@ def managed_block_remove(files: DataFrame, mark=START, keep_word="husky") -> Dat
 
     A file with the mark and without ``keep_word`` is deleted. Otherwise lines go from a marked line through the next
     blank line, and a file that is then empty or only a shebang is deleted.
+
+    Each line is written as one letter, a regex over the letters finds the sections, and the letters are laid beside the
+    lines again; so a long file takes time in proportion to its lines.
     """
-    lines = text.lines_of("content")
-    places = F.filter(
-        F.transform(F.col("lines"), lambda line, i: F.struct(
-            i.alias("at"), F.contains(line, F.lit(mark)).alias("marked"),
-            (F.length(text.trimmed(line)) == 0).alias("blank"))),
-        lambda p: p.marked | p.blank,
-    )
-    blanks = F.transform(F.filter("places", lambda p: p.blank), lambda p: p.at)
-    sections = F.transform(F.filter("places", lambda p: p.marked), lambda p: F.struct(
-        p.at.alias("first"),
-        F.coalesce(F.try_element_at(F.filter("blanks", lambda b: b > p.at), F.lit(1)), F.size("lines")).alias("last")))
-    left = F.filter(F.col("lines"), lambda line, i: ~F.exists("sections", lambda s: (i >= s.first) & (i <= s.last)))
-    cut = (
-        files.withColumn("lines", lines).withColumn("places", places).withColumn("blanks", blanks)
-        .withColumn("sections", sections).withColumn("left", text.trimmed(F.array_join(left, "\n")))
-    )
+    kind = lambda line: F.when(F.contains(line, F.lit(mark)), "m").when(F.length(text.trimmed(line)) == 0, "b").otherwise("x")
+    letters = F.array_join(F.transform("lines", kind), "")
+    # a marked line, or a line that goes on from the one before unless that was blank
+    dropped = F.split(F.regexp_replace(letters, r"m|(?<=[^b])\G(?!\A)[mxb]", "-"), "")
+    left = F.zip_with("lines", dropped, lambda line, letter: F.when(letter != "-", line))
+    cut = files.withColumn("lines", text.lines_of("content")).withColumn("left", text.trimmed(F.array_join(left, "\n")))
     whole = F.contains("content", F.lit(mark)) & ~F.contains("content", F.lit(keep_word))
     gone = whole | F.col("left").isin(SHEBANGS)
     return cut.select(
@@ -93,8 +91,8 @@ def managed_block_remove(files: DataFrame, mark=START, keep_word="husky") -> Dat
 
 def spec_reference(slug):
     """(needle, text) of the line that points an agent to a spec."""
-    spec = F.concat(F.lit("**Active Spec:** Read `.gitgauge/specs/"), slug, F.lit(".md`"))
-    return spec, F.concat(F.lit("---\n\n"), spec, F.lit(" before implementing this feature.\n"))
+    needle = F.concat(F.lit(SPEC_CALL + ".gitgauge/specs/"), slug, F.lit(".md`"))
+    return needle, F.concat(F.lit(SPEC_RULE), needle, F.lit(SPEC_PURPOSE))
 
 
 def reference_append(files: DataFrame, refs: DataFrame) -> DataFrame:

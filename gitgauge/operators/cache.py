@@ -87,9 +87,12 @@ def repos_to_build(selected: DataFrame, doc_sets: DataFrame) -> DataFrame:
 
 
 def incremental_plan(selected: DataFrame, summaries: DataFrame, changed: DataFrame) -> DataFrame:
-    """What to do for each selected file: reuse its summary, or summarise it because it changed or has none."""
+    """What to do for each selected file: reuse its summary, or summarise it because it changed or has none.
+
+    An empty summary is none: it stands for a file that could not be read.
+    """
     on = ["repo", "path"]
-    redo = F.col("summary").isNull() | F.col("touched").isNotNull()
+    redo = (F.coalesce(F.length("summary"), F.lit(0)) == 0) | F.col("touched").isNotNull()
     return (
         selected.join(summaries.select(*on, "summary"), on, "left")
         .join(changed.select(*on).distinct().withColumn("touched", F.lit(True)), on, "left")

@@ -50,7 +50,7 @@ def spread_bucket(spread, total, max_lines: int) -> Column:
 
 def joined_lines(df: DataFrame, keys, line, order, spread=None, lead=None, bucket=None, sep="\n",
                  max_lines=10_000) -> DataFrame:
-    """Ordered text of each group as (keys, part, n_lines, text).
+    """Ordered text of each group as (keys, part, n_lines, total_lines, text).
 
     A group of up to ``max_lines`` rows is one text, part 0. A larger one is split into several parts so that
     no task gathers it whole, and no line is lost: parts follow ``lead`` (a small integer that leads the
@@ -65,11 +65,11 @@ def joined_lines(df: DataFrame, keys, line, order, spread=None, lead=None, bucke
     fields = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line"))
     return (
         df.join(totals, list(keys))
-        .select(*keys, F.when(big, bucket).otherwise(F.lit(0)).cast("bigint").alias("part"), fields.alias("_item"))
-        .groupBy(*keys, "part")
+        .select(*keys, F.when(big, bucket).otherwise(F.lit(0)).cast("bigint").alias("part"), "_total", fields.alias("_item"))
+        .groupBy(*keys, "part", F.col("_total").alias("total_lines"))
         .agg(F.sort_array(F.collect_list("_item")).alias("_items"))
         .select(
-            *keys, "part", F.size("_items").cast("bigint").alias("n_lines"),
+            *keys, "part", F.size("_items").cast("bigint").alias("n_lines"), "total_lines",
             F.array_join(F.col("_items.line"), sep).alias("text"),
         )
     )

@@ -48,11 +48,10 @@ def external_usage(edges: DataFrame, package="target", max_lines=10_000) -> Data
     outside = edges.filter(F.col("target_id").isNull()).select(
         (F.col(package) if isinstance(package, str) else package).alias("package"), "source"
     ).distinct()
-    totals = outside.groupBy("package").agg(F.count(F.lit(1)).alias("total_files"))
     parts = joined_lines(
         outside, ["package"], F.col("source").cast("string"), [F.col("source")],
         spread=F.col("source").cast("string"), sep=",", max_lines=max_lines,
     )
-    return parts.join(totals, "package").select(
-        "package", "part", F.col("n_lines").alias("n_files"), "total_files", F.col("text").alias("files")
+    return parts.select(
+        "package", "part", F.col("n_lines").alias("n_files"), F.col("total_lines").alias("total_files"), F.col("text").alias("files")
     )

@@ -67,8 +67,12 @@ def last_run_status(lines: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def run_durations(lines: DataFrame) -> DataFrame:
-    """One row per started run: first start, last finish of the same commit, and the seconds it reports."""
-    log = run_log_parse(lines).filter(F.col("commit_hash").isNotNull())
+    """One row per started run: first start, last finish of the same commit, and the seconds it reports.
+
+    Lines that are no log lines fold into one group per repository, without a start, and drop out after the aggregate; a
+    filter before it would be pushed down and parse every line twice.
+    """
+    log = run_log_parse(lines)
     done = F.col("status").isin("SUCCESS", "FAILED")
     seconds = F.regexp_extract("detail", r"^(\d+)s$", 1).try_cast("bigint")
     end = F.struct(F.col("logged_at").alias("at"), F.col("status").alias("status"), seconds.alias("seconds"))
@@ -121,3 +125,8 @@ def pending_alerts(lines: DataFrame, heads: DataFrame, hot: DataFrame, check_sho
         told = marks.filter("shown").select("repo", F.col("commit_hash").alias("short_hash"))
         due = due.join(told, on, "left_anti")
     return hot.join(due, "repo").select("repo", "short_hash", "path", "commit_count", "percentage")
+
+
+def delivery_lines(alerts: DataFrame) -> DataFrame:
+    """Log lines that mark alerts ``(repo, short_hash, ...)`` as delivered; append them once the alerts are out."""
+    return alerts.select("repo", F.concat(F.lit("DOOM_SHOWN | Git: "), "short_hash").alias("line")).distinct()

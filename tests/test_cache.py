@@ -72,12 +72,14 @@ def test_full_set_and_missing_types(frame):
 
 
 def test_incremental_plan(frame):
-    selected = frame("repo string, path string, rank bigint", *[("r", p, i) for i, p in enumerate("abcd")])
-    stored = frame("repo string, path string, summary string", ("r", "a", "A"), ("r", "b", "B"), ("r", "d", None), ("r", "gone", "G"))
+    selected = frame("repo string, path string, rank bigint", *[("r", p, i) for i, p in enumerate("abcde")])
+    stored = frame("repo string, path string, summary string", ("r", "a", "A"), ("r", "b", "B"), ("r", "d", None), ("r", "e", ""),
+                   ("r", "gone", "G"))
     changed = frame("repo string, path string", ("r", "b"), ("r", "b"), ("r", "other"))
     plan = cache.incremental_plan(selected, stored, changed)
     assert tuples(plan, "path", "action", "summary") == [
-        ("a", "reuse", "A"), ("b", "summarise", None), ("c", "summarise", None), ("d", "summarise", None)]
+        ("a", "reuse", "A"), ("b", "summarise", None), ("c", "summarise", None), ("d", "summarise", None),
+        ("e", "summarise", None)]
     fresh = frame("repo string, path string, summary string", ("r", "b", "B2"))
     assert tuples(cache.merged_summaries(plan, fresh), "path", "summary") == [("a", "A"), ("b", "B2")]
 

@@ -131,6 +131,12 @@ def test_block_removal_against_plain_python(frame, parts):
     assert (row.action, row.content) == (("deleted", None) if want is None else ("rewritten", want))
 
 
+def test_removal_from_a_long_file(frame):
+    content = "husky\n" + "M\nx\n\nkept\n" * 50_000
+    (row,) = blocks.managed_block_remove(frame(FILE, ("r", "p", content)), "M", "husky").collect()
+    assert row.content == "husky\n" + "kept\n" * 50_000
+
+
 def test_reference_is_appended_once(frame):
     line = "---\n\n**Active Spec:** Read `.gitgauge/specs/{0}.md` before implementing this feature.\n"
     files = frame(FILE, ("r", "a", "text"), ("r", "b", "text\n"), ("r", "c", "x " + line.format("s1")))
