@@ -7,7 +7,7 @@ win over higher ones, ``!`` takes a path back, and nothing can be taken back bel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import paths, text
 
 
 def _as_regex(body):
@@ -39,6 +39,13 @@ def parsed_rules(content):
     return F.filter(F.transform(written, rule), lambda r: r.real)
 
 
+def ignore_files_of(contents: DataFrame, name=".gitignore") -> DataFrame:
+    """``(repo, folder, content)`` of the ignore files among ``contents(repo, path, content)``."""
+    folder = paths.dirname()
+    found = contents.filter((paths.basename() == name) & F.col("content").isNotNull())
+    return found.select("repo", F.when(folder == ".", F.lit("")).otherwise(folder).alias("folder"), "content")
+
+
 def apply_ignore_files(files: DataFrame, ignore_files: DataFrame) -> DataFrame:
     """Files that no rule of ``ignore_files(repo, folder, content)`` hides; ``folder`` is ``''`` at the root.
 

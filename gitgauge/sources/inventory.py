@@ -1,7 +1,7 @@
 """Files of many repositories as tables: a listing source, and a reader for the content of chosen files.
 
 Spark's own file sources skip names that start with an underscore (``__init__.py``, ``__tests__/``), so the listing is a
-Python data source. Folders are the units of work: executors walk them, the driver sees two levels of folders only.
+Python data source. Folders are the units of work: executors walk them, the driver sees the upper levels of folders only.
 """
 
 import posixpath
@@ -40,7 +40,8 @@ class Folder(InputPartition):
 class RepoFiles(DataSource):
     """``spark.read.format("repo_files").option("path", root)``: one row per file, content not read.
 
-    ``root`` holds one folder per repository, or is one repository if option ``repo`` names it.
+    ``root`` holds one folder per repository, or is one repository if option ``repo`` names it. Each folder ``levels``
+    (default 1) below a repository is a task of its own; raise it for repositories with few and large folders.
     """
 
     @classmethod
@@ -56,16 +57,16 @@ class RepoFiles(DataSource):
 
 class RepoFilesReader(DataSourceReader):
     def __init__(self, options):
-        self.root, self.repo = options["path"], options.get("repo")
+        self.root, self.repo, self.levels = options["path"], options.get("repo"), int(options.get("levels", 1))
 
     def partitions(self):
         system, base = _open(self.root)
         homes = [(self.repo, base)] if self.repo else [(posixpath.basename(d), d) for d in _children(system, base)[1]]
-        work = []
-        for repo, home in homes:
-            work.append(Folder(repo, home, home, deep=False))
-            work += [Folder(repo, home, d, deep=True) for d in _children(system, home)[1]]
-        return work
+        work, level = [], [Folder(repo, home, home, deep=False) for repo, home in homes]
+        for _ in range(self.levels):
+            work += level
+            level = [Folder(f.repo, f.home, d, deep=False) for f in level for d in _children(system, f.folder)[1]]
+        return work + [Folder(f.repo, f.home, f.folder, deep=True) for f in level]
 
     def read(self, partition):
         system, _ = _open(self.root)
@@ -89,9 +90,9 @@ class RepoFilesReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def list_files(spark: SparkSession, root: str, repo=None, include_hidden=False) -> DataFrame:
+def list_files(spark: SparkSession, root: str, repo=None, include_hidden=False, levels=1) -> DataFrame:
     spark.dataSource.register(RepoFiles)
-    source = spark.read.format("repo_files").option("path", root)
+    source = spark.read.format("repo_files").option("path", root).option("levels", levels)
     listed = (source.option("repo", repo) if repo else source).load()
     return listed if include_hidden else listed.filter(~paths.is_hidden())
 

@@ -26,6 +26,21 @@ def test_listing(spark, tree):
         ("x", "b.go"), ("x", "bad.go"), ("x", "deep/er/__init__.py")]
 
 
+@pytest.mark.parametrize("levels", [0, 2, 5])
+def test_listing_does_not_depend_on_how_it_is_cut(spark, tree, levels):
+    assert tuples(inventory.list_files(spark, tree, levels=levels), "repo", "path") == tuples(
+        inventory.list_files(spark, tree), "repo", "path")
+
+
+def test_ignore_files_from_disk(spark, tree, tmp_path):
+    (tmp_path / "one/.gitignore").write_text("*.md\n")
+    (tmp_path / "one/src/.gitignore").write_text("__tests__/\n")
+    every = inventory.list_files(spark, tree, include_hidden=True)
+    rules = ignore_rules.ignore_files_of(inventory.read_content(every.filter("path like '%.gitignore'"), tree))
+    kept = ignore_rules.apply_ignore_files(inventory.list_files(spark, tree, repo=None), rules)
+    assert [p for r, p in tuples(kept, "repo", "path") if r == "one"] == ["src/a.ts", "with space+plus.py"]
+
+
 def test_content_of_chosen_files(spark, frame, tree):
     chosen = frame("repo string, path string", ("one", "src/a.ts"), ("one", "with space+plus.py"), ("two", "bad.go"), ("two", "gone"))
     assert tuples(inventory.read_content(chosen, tree, partitions=2)) == [
