@@ -3,6 +3,7 @@
 import math
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..session import written  # noqa: F401  (re-exported for the operators)
@@ -43,7 +44,7 @@ def rows(schema: pa.Schema, columns: dict):
 
 def slices(batch: pa.RecordBatch, text="text", chars=4_000_000):
     """The batch cut into runs of rows of about so many bytes of text, one row at least."""
-    lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
+    lengths = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
     at = total = 0
     for i, n in enumerate(lengths):
         if total and total + n > chars:
