@@ -287,7 +287,8 @@ def fit(docs, labels, label_col="toxic", max_chains=MAX_CHAINS, max_docs=MAX_DOC
                 most, total, _, _ = own.summary([tokens(t) for t in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array(most), pa.array(total), batch.column("y")], names=["most", "total", "y"])
 
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    share_of = max(1, int(1_000_003 * min(1.0, max_docs / rows.count())))
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share_of)
     s = chosen.mapInArrow(summaries, "most double, total double, y int").collect()
     field.scale = fit_scale(np.array([r["most"] for r in s]), np.array([r["total"] for r in s]), np.array([r["y"] for r in s], float))
     return field

@@ -6,7 +6,11 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, rans, simhash_bk
+from pyspark.sql import functions as F
+
+from . import (
+    bpe_chunks, context_mixing, crf_toxicity, language_id, line_chunks, minhash_windows, rans, simhash_bk, tput_topk, weak_quality,
+)
 
 _SHIPPED = set()
 
@@ -31,6 +35,26 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_context_mixing(spark, sf_dir):
+    return context_mixing.lm_score(table(spark, sf_dir, "documents"))
+
+
+def op2_tput_topk(spark, sf_dir):
+    return tput_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op3_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op4_minhash_windows(spark, sf_dir):
+    return minhash_windows.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_line_chunks(spark, sf_dir):
+    return line_chunks.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_rans(spark, sf_dir):
     return rans.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,11 +63,50 @@ def op7_simhash_bk(spark, sf_dir):
     return simhash_bk.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_weak_quality(spark, sf_dir):
+    return weak_quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_chunks(spark, sf_dir):
     return bpe_chunks.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op6_rans, op7_simhash_bk, op9_bpe_chunks)}
+def op10_crf_toxicity(spark, sf_dir):
+    return crf_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_context_mixing, op2_tput_topk, op3_language_id, op4_minhash_windows, op5_line_chunks, op6_rans, op7_simhash_bk,
+    op8_weak_quality, op9_bpe_chunks, op10_crf_toxicity)}
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+
+CONTAINED_SQL = r"""
+WITH lowered AS (
+  SELECT 0 AS kind, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 1, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+words AS (SELECT kind, id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM lowered),
+places AS (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0),
+shingles AS (SELECT kind, id, i - 1 AS place, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM places),
+items AS (SELECT DISTINCT id AS item_id, s FROM shingles WHERE kind = 1),
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM items GROUP BY item_id),
+hits AS (
+  SELECT d.id AS doc_id, i.item_id, count(DISTINCT d.s) AS n_contained, min(d.place) AS first_word
+  FROM shingles d JOIN items i ON d.s = i.s WHERE d.kind = 0 GROUP BY d.id, i.item_id)
+SELECT doc_id, item_id, n_contained, n_shingles, n_contained / CAST(n_shingles AS DOUBLE) AS containment, first_word
+FROM hits JOIN sizes USING (item_id) WHERE n_contained >= 0.8 * n_shingles
+"""
 
 
 def queries():
@@ -57,4 +120,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op2_tput_topk": TOP_K_SQL, "op4_minhash_windows": CONTAINED_SQL}
