@@ -22,7 +22,8 @@ DIM = 1 << 18
 MAX_DOCS = 8_000
 ROUNDS = 100
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"!?()\-]")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
 LABELLERS = ("length", "letters", "symbols", "word_length", "repeated_words", "repeated_lines", "sentence_ends", "shouting")
 
 
@@ -33,13 +34,20 @@ def measures(text: str, words):
     counts = Counter(words)
     top = counts.most_common(1)[0][1] if counts else 0
     return {
-        "words": len(words), "letters": len(_LETTER.findall(text)) / n, "symbols": len(_SYMBOL.findall(text)) / max(1, len(words)),
+        "words": len(words), "letters": sum(map(len, _LETTERS.findall(text))) / n, "symbols": len(_SYMBOL.findall(text)) / max(1, len(words)),
         "word_length": sum(map(len, words)) / max(1, len(words)), "distinct": len(counts) / max(1, len(words)), "top": top / max(1, len(words)),
         "repeated_lines": 1 - len(set(lines)) / max(1, len(lines)), "ends": sum(text.count(c) for c in ".!?") / max(1, len(words)),
-        "upper": sum(1 for c in text if c.isupper()) / n,
+        "upper": _upper(text) / n,
     }
 
 
+def _upper(text):
+    if text.isascii():
+        b = np.frombuffer(text.encode(), np.uint8)
+        return int(((b >= 65) & (b <= 90)).sum())
+    return sum(map(str.isupper, text))
+
+
 def votes(m) -> list[int]:
     """One vote a labeller; -1 where a figure says little."""
     def between(x, low, high, bad_low, bad_high):
@@ -86,7 +94,9 @@ def places(text, words):
     """Hashed places and values of the features of the scorer: words and shapes of the whole text, of unit length."""
     import xxhash
     counts = Counter(words)
-    shapes = Counter(re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", w))[-3:] for w in counts.elements())
+    shapes = Counter()
+    for w, c in counts.items():
+        shapes["aaa" if w.isalpha() and len(w) > 2 else _LETTER.sub("a", _DIGIT.sub("0", w))[-3:]] += c
     items = [("w" + w, c) for w, c in counts.items()] + [("s" + s, c) for s, c in shapes.items()]
     size = len(words).bit_length()
     at = np.array([xxhash.xxh32_intdigest(k.encode("utf-8", "surrogatepass")) % DIM for k, _ in items] + [xxhash.xxh32_intdigest(f"n{size}") % DIM], np.int64)
