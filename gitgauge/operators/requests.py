@@ -3,10 +3,13 @@
 The model itself is a parameter. Without one, a column expression makes the summaries, so every job runs offline.
 """
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import task_count
 from .groups import joined_lines
 from .scan import implementation_files, with_content
 
@@ -45,6 +48,9 @@ TARGET_TASKS = {
     "windsurf": "Write .windsurfrules for this stack: overview, stack, conventions, testing, patterns.",
 }
 
+# calls to a model that one task has open at a time
+CALLS_AT_ONCE = 10
+
 
 def summary_prompt(tier="brief"):
     """Prompt for one file from columns path, language, content: truncated smartly, then cut to the tier's budget."""
@@ -56,36 +62,42 @@ def summary_prompt(tier="brief"):
     )
 
 
-def ask_model(prompts: DataFrame, keys, client_factory, tier, max_tokens, temperature, partitions=None) -> DataFrame:
+def ask_model(prompts: DataFrame, keys, client_factory, tier, max_tokens, temperature, partitions=None, calls=CALLS_AT_ONCE) -> DataFrame:
     """Answer to each ``prompt`` as (keys, answer, tokens, error).
 
     Each task makes one client and calls ``client.generate(prompt, tier, max_tokens, temperature)``, which returns
-    (text, tokens). A failed call fills ``error`` for its row and no other; a null prompt is not asked. The rows are dealt
-    evenly over ``partitions`` tasks.
+    (text, tokens); up to ``calls`` of them run at once, so the client must be safe to share between threads, and answers keep the
+    order of their prompts. A column ``max_tokens`` takes the place of the parameter row by row, and a column ``system`` is handed
+    on under that name. A failed call fills ``error`` for its row and no other; a null prompt is not asked. The rows are dealt evenly
+    over ``partitions`` tasks.
     """
+    more = [c for c in ("max_tokens", "system") if c in prompts.columns and c not in keys]
 
     def call(batches):
         client = client_factory()
-        for batch in batches:
-            answers = []
-            for prompt in batch["prompt"]:
-                if prompt is None:
-                    answers.append((None, 0, None))
-                    continue
-                try:
-                    answer, used = client.generate(prompt, tier=tier, max_tokens=max_tokens, temperature=temperature)
-                    answers.append((answer, used, None))
-                except Exception as failure:  # one bad row must not fail the job
-                    answers.append((None, 0, f"{type(failure).__name__}: {failure}"))
-            out = batch[keys].copy()
-            for i, name in enumerate(("answer", "tokens", "error")):
-                out[name] = [a[i] for a in answers]
-            yield out
-
-    asked = prompts.select(*keys, "prompt")
-    spread = [F.xxhash64(*keys)]
-    asked = asked.repartition(partitions, *spread) if partitions else asked.repartition(*spread)
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema if f.name != "prompt"]
+
+        def one(row):
+            prompt, *given = row
+            if prompt is None:
+                return None, 0, None
+            options = {"max_tokens": max_tokens} | {k: v for k, v in zip(more, given) if v is not None and v == v}
+            options["max_tokens"] = int(options["max_tokens"])
+            try:
+                return (*client.generate(prompt, tier=tier, temperature=temperature, **options), None)
+            except Exception as failure:  # one bad row must not fail the job
+                return None, 0, f"{type(failure).__name__}: {failure}"
+
+        with ThreadPoolExecutor(calls) as pool:
+            for batch in batches:
+                answers = list(pool.map(one, zip(batch["prompt"], *[batch[c] for c in more])))
+                out = batch[keys].copy()
+                for i, name in enumerate(("answer", "tokens", "error")):
+                    out[name] = [a[i] for a in answers]
+                yield out
+
+    asked = prompts.select(*keys, "prompt", *more)
+    asked = asked.repartition(partitions or task_count(asked), F.xxhash64(*keys))
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema if f.name in keys]
     return asked.mapInPandas(call, ", ".join([*types, "answer string", "tokens bigint", "error string"]))
 
 

@@ -53,12 +53,12 @@ def last_run_status(lines: DataFrame, repos: DataFrame) -> DataFrame:
     state = F.when(F.col("n").isNull() | F.contains("last", F.lit("FAILED")) & ~F.contains("last", F.lit("SUCCESS")),
                    "warn").otherwise("pass")
     message = (
-        F.when(F.col("n").isNull(), "no log found")
+        F.when(F.col("n").isNull(), "no runs on record")
         .when(F.contains("last", F.lit("SUCCESS")),
-              F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " update").otherwise(" updates"),
-                       F.lit(" logged · last: success")))
-        .when(F.contains("last", F.lit("FAILED")), "last update failed")
-        .otherwise(F.concat(F.lit("log exists · "), F.col("n").cast("string"), F.lit(" entries")))
+              F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " run").otherwise(" runs"),
+                       F.lit(" on record, newest succeeded")))
+        .when(F.contains("last", F.lit("FAILED")), "newest run failed")
+        .otherwise(F.concat(F.lit("log holds "), F.col("n").cast("string"), F.lit(" lines")))
     )
     return repos.join(last, "repo", "left").select(
         "repo", state.alias("status"), message.alias("message"),

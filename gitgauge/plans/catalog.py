@@ -118,7 +118,7 @@ def _summaries(t):
 
 
 def _build(t):
-    documents, _, _ = build_context(t.files(), t.file_heads(), t.file_docs(), t.summary_cache(), t.changed(), now=NOW)
+    documents, *_ = build_context(t.files(), t.file_heads(), t.file_docs(), t.summary_cache(), t.changed(), now=NOW)
     return documents
 
 

@@ -13,7 +13,8 @@ def build_context(files: DataFrame, heads: DataFrame, docs: DataFrame, summaries
 
     ``files(repo, path, size, content)``; the other inputs are those of the cache operators. Repositories with a full cache
     leave before anything is ranked or read. Only files that changed or have no summary are summarised. Returns
-    (documents, summaries, costs); store the documents with ``doc_store_upsert``.
+    (documents, summaries, costs, errors); store the documents with ``doc_store_upsert``. Each failed call is a row
+    (repo, step, key, error) of errors, its key a path or a document type; what failed is neither stored nor lost from sight.
     """
     todo = heads
     if use_cache:
@@ -26,8 +27,9 @@ def build_context(files: DataFrame, heads: DataFrame, docs: DataFrame, summaries
     plan = cache.incremental_plan(selected, summaries, changed)
     redo = selected.join(plan.filter("action = 'summarise'").select(*on), on, "left_semi")
     fresh = requests.batch_summarize(scan.with_content(redo, files, max(scan.LARGEST_SHARE, max_files)), client_factory)
-    known = plan.filter("action = 'reuse'").select(*on, "summary", F.lit(0).cast("bigint").alias("tokens")).unionByName(
-        fresh.select(*on, "summary", "tokens"))
+    known = plan.filter("action = 'reuse'").select(
+        *on, "summary", F.lit(0).cast("bigint").alias("tokens"), F.lit(None).cast("string").alias("error")).unionByName(
+        fresh.select(*on, "summary", "tokens", "error"))
     told = written(selected.join(known, on, "left"), "summaries")
     prompts = {
         "context": requests.prompt_assemble(told), "dependency-map": requests.prompt_assemble(told, "dependency-map"),
@@ -44,4 +46,6 @@ def build_context(files: DataFrame, heads: DataFrame, docs: DataFrame, summaries
     spent = made.select("repo", "doc_type", F.lit("mid").alias("tier"), F.col("token_count").alias("tokens")).unionByName(
         told.select("repo", F.lit("summaries").alias("doc_type"), F.lit("fast").alias("tier"), "tokens"))
     costs = requests.cost_rollup(spent, requests.price_table(files.sparkSession))
-    return documents, told.select(*on, "summary"), costs
+    failed = told.select("repo", F.lit("summary").alias("step"), F.col("path").alias("key"), "error").unionByName(
+        made.select("repo", F.lit("document").alias("step"), F.col("doc_type").alias("key"), "error"))
+    return documents, told.select(*on, "summary"), costs, failed.filter(F.col("error").isNotNull())

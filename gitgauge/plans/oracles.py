@@ -153,10 +153,10 @@ agent_files AS (
                      || 'tail ' || text
       WHEN 'es' THEN text || chr(10) || '<!-- S -->old, no end marker'
       ELSE CASE WHEN n_chars < 500 THEN '#!/bin/sh' || chr(10) ELSE text END END AS content
-  FROM documents WHERE lang <> 'fr'),
+  FROM documents),
 blocks AS (
-  SELECT doc_id AS repo, 'CLAUDE.md' AS path, '<!-- S -->Git: ' || doc_id || '<!-- E -->' AS block
-  FROM documents WHERE n_chars >= 1000)"""
+  SELECT doc_id AS repo, unnest(['CLAUDE.md', 'AGENTS.md']) AS path, '<!-- S -->Git: ' || doc_id || '<!-- E -->' AS block
+  FROM documents)"""
 
 # lines whose trimmed text starts with one of the prefixes, in order
 _TRIM = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279) || chr(12288))"
@@ -189,10 +189,10 @@ last_line AS (
   SELECT repo, arg_max(line, seq) AS line, count(*) AS n FROM run_log GROUP BY repo)"""
 _LOG_STATUS = """CASE WHEN n IS NULL OR (contains(line, 'FAILED') AND NOT contains(line, 'SUCCESS')) THEN 'warn'
                  ELSE 'pass' END"""
-_LOG_MESSAGE = """CASE WHEN n IS NULL THEN 'no log found'
-       WHEN contains(line, 'SUCCESS') THEN n || CASE WHEN n = 1 THEN ' update' ELSE ' updates' END || ' logged · last: success'
-       WHEN contains(line, 'FAILED') THEN 'last update failed'
-       ELSE 'log exists · ' || n || ' entries' END"""
+_LOG_MESSAGE = """CASE WHEN n IS NULL THEN 'no runs on record'
+       WHEN contains(line, 'SUCCESS') THEN n || CASE WHEN n = 1 THEN ' run' ELSE ' runs' END || ' on record, newest succeeded'
+       WHEN contains(line, 'FAILED') THEN 'newest run failed'
+       ELSE 'log holds ' || n || ' lines' END"""
 
 CHECKS = DOCS + "," + RUN_LOG + "," + LAST_LINE + f""",
 per_repo AS (
@@ -208,43 +208,43 @@ wide AS (
   LEFT JOIN nation ON n_nationkey = heads.repo LEFT JOIN last_line USING (repo)),
 checks AS (
   SELECT repo, 'context_files' AS name, CASE WHEN have = 0 THEN 'fail' WHEN have < 3 THEN 'warn' ELSE 'pass' END AS status,
-    CASE WHEN have = 0 THEN 'no context files found'
+    CASE WHEN have = 0 THEN 'nothing built so far'
          WHEN have < 3 THEN concat_ws(', ', CASE WHEN NOT c THEN 'context' END, CASE WHEN NOT d THEN 'dependency-map' END,
                                       CASE WHEN NOT p THEN 'patterns' END) || ' missing'
          ELSE have || ' files' END AS message,
     CASE WHEN have < 3 THEN 'refresh' END AS fix FROM wide
   UNION ALL
   SELECT repo, 'cache_valid', CASE WHEN cached IS NULL THEN 'fail' WHEN cached <> head_hash THEN 'warn' ELSE 'pass' END,
-    CASE WHEN cached IS NULL THEN 'no cache found' WHEN cached <> head_hash THEN 'cache stale (hash mismatch)'
-         ELSE 'valid · matches current hash' END,
+    CASE WHEN cached IS NULL THEN 'nothing stored' WHEN cached <> head_hash THEN 'stored for another commit'
+         ELSE 'stored for the head commit' END,
     CASE WHEN cached IS NULL THEN 'refresh' WHEN cached <> head_hash THEN 'rebuild' END FROM wide
   UNION ALL
   SELECT repo, 'hook_log', {_LOG_STATUS}, {_LOG_MESSAGE},
     CASE WHEN n IS NULL THEN 'commit' WHEN {_LOG_STATUS} = 'warn' THEN 'status' END FROM wide
   UNION ALL
   SELECT repo, 'agent_file_claude-code', CASE WHEN region < 3 THEN 'pass' ELSE 'warn' END,
-    CASE WHEN region < 3 THEN 'CLAUDE.md ✓' WHEN region = 3 THEN 'CLAUDE.md exists but no injection'
-         ELSE 'CLAUDE.md not found' END,
+    CASE WHEN region < 3 THEN 'CLAUDE.md ✓' WHEN region = 3 THEN 'CLAUDE.md lacks the managed block'
+         ELSE 'CLAUDE.md is absent' END,
     CASE WHEN region < 3 THEN NULL WHEN region = 3 THEN 'refresh' ELSE 'standards' END FROM wide
   UNION ALL
   SELECT repo, 'agent_file_cursor', CASE WHEN region > 1 THEN 'pass' ELSE 'warn' END,
-    CASE WHEN region > 1 THEN '.cursorrules ✓' ELSE '.cursorrules not found' END,
+    CASE WHEN region > 1 THEN '.cursorrules ✓' ELSE '.cursorrules is absent' END,
     CASE WHEN region > 1 THEN NULL ELSE 'standards' END FROM wide
   UNION ALL
   SELECT repo, 'agent_file_windsurf', 'warn',
-    CASE WHEN region = 0 THEN '.windsurfrules exists but no injection' ELSE '.windsurfrules not found' END,
+    CASE WHEN region = 0 THEN '.windsurfrules lacks the managed block' ELSE '.windsurfrules is absent' END,
     CASE WHEN region = 0 THEN 'refresh' ELSE 'standards' END FROM wide
   UNION ALL
   SELECT repo, 'context_freshness',
     CASE WHEN hours IS NULL THEN 'fail' WHEN hours < 24 THEN 'pass' WHEN hours < 168 THEN 'warn' ELSE 'fail' END,
-    CASE WHEN hours IS NULL THEN 'context not found' WHEN hours < 24 THEN hours || ' hours ago (healthy)'
-         ELSE CAST(floor(hours / 24) AS BIGINT) || ' days old' || CASE WHEN hours < 168 THEN '' ELSE ' (stale)' END END,
+    CASE WHEN hours IS NULL THEN 'context is absent' WHEN hours < 24 THEN hours || ' h since the last build'
+         ELSE CAST(floor(hours / 24) AS BIGINT) || ' d since the last build' || CASE WHEN hours < 168 THEN '' ELSE ', rebuild due' END END,
     CASE WHEN hours IS NULL THEN 'refresh' WHEN hours >= 24 THEN 'rebuild' END FROM wide
   UNION ALL
   SELECT repo, 'file_scan_sanity', CASE WHEN files BETWEEN 10 AND 500 THEN 'pass' ELSE 'warn' END,
-    CASE WHEN files IS NULL THEN 'no cache to check' WHEN files < 10 THEN 'only ' || files || ' files scanned'
-         WHEN files > 500 THEN files || ' files scanned (check ignore rules)'
-         ELSE files || ' files scanned (reasonable)' END, NULL FROM wide)"""
+    CASE WHEN files IS NULL THEN 'no summaries to count' WHEN files < 10 THEN 'only ' || files || ' files read'
+         WHEN files > 500 THEN files || ' files read, more than expected'
+         ELSE files || ' files read' END, NULL FROM wide)"""
 
 
 def _with(ctes, select):
@@ -415,18 +415,18 @@ def oracle_sql():
         written AS (
           SELECT repo, diff <> '' OR paths IS NOT NULL AS has_changes,
             CASE WHEN diff <> '' OR paths IS NOT NULL THEN
-              '# Session Handoff' || chr(10) || chr(10) || '**Branch**: ' || branch || chr(10) || chr(10)
+              '# Hand-over' || chr(10) || chr(10) || '**Branch**: ' || branch || chr(10) || chr(10)
               || '## Modified Files' || chr(10) || chr(10) || coalesce(paths, 'None') || chr(10) || chr(10)
-              || '## Recent Commits' || chr(10) || chr(10) || '```' || chr(10) || coalesce(digest, '') || chr(10) || '```'
+              || '## Last commits' || chr(10) || chr(10) || '```' || chr(10) || coalesce(digest, '') || chr(10) || '```'
               || chr(10) || chr(10) || '## Diff' || chr(10) || chr(10) || '```diff' || chr(10) || substr(diff, 1, 60)
               || CASE WHEN length(diff) > 60 THEN chr(10) || '...(truncated)' ELSE '' END || chr(10) || '```' || chr(10)
               || coalesce(chr(10) || '## Goal' || chr(10) || chr(10) || goal || chr(10), '')
             ELSE
-              '# Session Handoff' || chr(10) || chr(10) || '**Branch**: ' || branch || chr(10) || chr(10) || '## Status'
-              || chr(10) || chr(10) || 'No changes detected in the working directory.' || chr(10) || chr(10)
-              || '## Recent Commits' || chr(10) || chr(10) || '```' || chr(10) || coalesce(digest, 'No commits found')
-              || chr(10) || '```' || chr(10) || chr(10) || '## Next Steps' || chr(10) || chr(10)
-              || coalesce(goal, 'No specific goals defined for the next session.') || chr(10) END AS content
+              '# Hand-over' || chr(10) || chr(10) || '**Branch**: ' || branch || chr(10) || chr(10) || '## State'
+              || chr(10) || chr(10) || 'Nothing is modified.' || chr(10) || chr(10)
+              || '## Last commits' || chr(10) || chr(10) || '```' || chr(10) || coalesce(digest, 'none')
+              || chr(10) || '```' || chr(10) || chr(10) || '## What comes next' || chr(10) || chr(10)
+              || coalesce(goal, 'No goal is set.') || chr(10) END AS content
           FROM docs)
         SELECT repo, CAST(0 AS BIGINT) AS part, has_changes, content,
           CASE WHEN has_changes THEN CAST(ceil(length(content) / 4) AS BIGINT) ELSE 0 END AS token_count

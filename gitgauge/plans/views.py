@@ -138,22 +138,21 @@ class Tables:
                                            line.alias("line"))
 
     def agent_files(self) -> DataFrame:
-        """Agent files with a block in the middle, with a start mark only, without a block, or only a shebang; French
-        documents have no file."""
+        """Agent files with a block in the middle, with a start mark only, without a block, or only a shebang."""
         lang = F.col("lang")
         content = (
             F.when(lang == "en", F.concat("text", F.lit("\n<!-- S -->\nold\n<!-- E -->\n\ntail "), "text"))
             .when(lang == "es", F.concat("text", F.lit("\n<!-- S -->old, no end marker")))
             .when(F.col("n_chars") < 500, F.lit("#!/bin/sh\n")).otherwise(F.col("text"))
         )
-        return self.table("documents").filter(lang != "fr").select(
+        return self.table("documents").select(
             F.col("doc_id").alias("repo"), F.lit("CLAUDE.md").alias("path"), content.alias("content"))
 
     def blocks(self) -> DataFrame:
-        """Blocks for the longer documents."""
+        """A block for the file of every document, and one for a file that is absent."""
         block = F.concat(F.lit("<!-- S -->Git: "), F.col("doc_id").cast("string"), F.lit("<!-- E -->"))
-        return self.table("documents").filter(F.col("n_chars") >= 1000).select(
-            F.col("doc_id").alias("repo"), F.lit("CLAUDE.md").alias("path"), block.alias("block"))
+        return self.table("documents").select(
+            F.col("doc_id").alias("repo"), F.explode(F.array(F.lit("CLAUDE.md"), F.lit("AGENTS.md"))).alias("path"), block.alias("block"))
 
     def page_links(self) -> DataFrame:
         """(source, content) of the pages."""

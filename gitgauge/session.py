@@ -49,3 +49,9 @@ def written(df, purpose):
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def task_count(df) -> int:
+    """Tasks to deal rows over by default. An explicit number, since adaptive execution merges small partitions otherwise."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import paths
+from ..session import task_count
 
 SCHEMA = "repo string, path string, size bigint, modified_at timestamp"
 BATCH_ROWS = 10_000
@@ -121,6 +122,5 @@ def read_content(files: DataFrame, root: str, single_repo=False, partitions=None
                     bodies, held, start = [], 0, at
 
     keys = files.select("repo", "path")
-    spread = [F.xxhash64("repo", "path")]
-    dealt = keys.repartition(partitions, *spread) if partitions else keys.repartition(*spread)
+    dealt = keys.repartition(partitions or task_count(keys), F.xxhash64("repo", "path"))
     return dealt.mapInPandas(read, "repo string, path string, content string")

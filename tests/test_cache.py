@@ -122,18 +122,18 @@ def test_health_of_a_good_repository(frame):
     agent = [("r", p, "x MARK y") for p in ("CLAUDE.md", ".cursorrules", ".windsurfrules")]
     got = checks(frame, [doc(k, "h1", 1) for k in cache.REQUIRED_DOCS], [("r", 1, "t | Git: h | SUCCESS | 1s")], 10, agent)
     assert {s for s, _ in got.values()} == {"pass"}
-    assert got["context_freshness"][1] == "23 hours ago (healthy)" and got["context_files"][1] == "3 files"
+    assert got["context_freshness"][1] == "23 h since the last build" and got["context_files"][1] == "3 files"
 
 
 def test_health_in_between(frame):
     got = checks(frame, [doc("context", "old", 0)], [("r", 1, "FAILED")], 501, [("r", "CLAUDE.md", "no")])
     assert got["context_files"] == ("warn", "dependency-map, patterns missing")
     assert got["cache_valid"][0] == got["hook_log"][0] == got["agent_file_claude-code"][0] == "warn"
-    assert got["context_freshness"] == ("warn", "1 days old")
+    assert got["context_freshness"] == ("warn", "1 d since the last build")
     assert got["file_scan_sanity"][0] == "warn"
-    assert checks(frame, files=9)["file_scan_sanity"] == ("warn", "only 9 files scanned")
+    assert checks(frame, files=9)["file_scan_sanity"] == ("warn", "only 9 files read")
     late = checks(frame, [doc("context", "h1", 0)], now="2024-01-08 00:00:00")
-    assert late["context_freshness"] == ("fail", "7 days old (stale)")
+    assert late["context_freshness"] == ("fail", "7 d since the last build, rebuild due")
 
 
 def test_doc_store_on_disk(spark, frame, tmp_path):

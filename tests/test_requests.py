@@ -120,3 +120,57 @@ def test_popular_package_is_listed_in_parts(spark):
     parts = links.external_usage(edges, max_lines=100).collect()
     names = [n for p in parts for n in p.files.split(",")]
     assert len(parts) > 5 and len(names) == len(set(names)) == 1000 and {p.total_files for p in parts} == {1000}
+
+
+class Slow:
+    """Notes how many calls are open at a time; fails on one prompt."""
+
+    def __init__(self):
+        import threading
+        self.lock, self.open, self.most = threading.Lock(), 0, 0
+
+    def generate(self, prompt, tier, max_tokens, temperature, system=None):
+        import time
+        with self.lock:
+            self.open += 1
+            self.most = max(self.most, self.open)
+        time.sleep(0.05)
+        with self.lock:
+            self.open -= 1
+        if prompt == "bad":
+            raise ValueError("refused")
+        return f"{prompt} {max_tokens} {system} {self.most}", 1
+
+
+def test_model_calls_run_side_by_side(spark):
+    rows = [(i, "bad" if i == 7 else f"p{i}", i if i % 2 else None, "be brief") for i in range(30)]
+    asked = requests.ask_model(
+        spark.createDataFrame(rows, "k int, prompt string, max_tokens int, system string"), ["k"], Slow, "fast", 150, 0.3, partitions=1, calls=5)
+    got = {r.k: r for r in asked.collect()}
+    assert got[7].error == "ValueError: refused" and got[7].answer is None and sum(r.error is not None for r in got.values()) == 1
+    words = {k: r.answer.split(" ") for k, r in got.items() if k != 7}
+    assert all(w[:4] == [f"p{k}", str(k if k % 2 else 150), "be", "brief"] for k, w in words.items())
+    assert max(int(w[4]) for w in words.values()) == 5
+
+
+def test_model_calls_are_dealt_over_tasks(spark):
+    prompts = spark.range(20_000).selectExpr("id as k", "'p' as prompt")
+    plan = requests.ask_model(prompts, ["k"], Slow, "fast", 150, 0.3)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_failed_calls_are_told(spark, frame):
+    from gitgauge.plans.context import build_context
+    text = "export const a = 1;\n" * 20
+    documents, summaries, costs, errors = build_context(
+        frame("repo string, path string, size bigint, content string", ("r", "src/services/a.ts", 400, text)),
+        frame("repo string, head_hash bigint", ("r", 1)), frame("repo string, doc_type string, content string, commit_hash bigint"),
+        frame("repo string, path string, summary string"), frame("repo string, path string"), client_factory=Refusing)
+    assert documents.count() == 0
+    assert sorted((r.step, r.key, r.error) for r in errors.collect()) == [
+        ("document", t, "ValueError: no") for t in ("context", "dependency-map", "patterns")] + [("summary", "src/services/a.ts", "ValueError: no")]
+
+
+class Refusing:
+    def generate(self, prompt, tier, max_tokens, temperature):
+        raise ValueError("no")
