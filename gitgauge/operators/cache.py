@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .groups import top_k
+from .history import ALERT_HEADER
 
 REQUIRED_DOCS = ["context", "dependency-map", "patterns"]
 
@@ -112,12 +113,11 @@ def load_context(heads: DataFrame, docs: DataFrame, alerts: DataFrame, force_ref
     """Combined text of the three documents per repository, whether it is stale, and the pending alert.
 
     Stored documents of any commit are served, with a stale flag when their hash is not the head; if one is missing the
-    content is null and must be made. ``alerts`` is the output of ``alert_text``; an alert of several parts is
-    announced by its line count, its text stays in ``alerts``.
+    content is null and must be made. ``alerts`` is the output of ``alert_text``: an alert is announced by its header and
+    the number of its files, and its lines are the rows of ``alerts``. Without one, alert is null.
     """
     pivot = latest_docs(docs, *[F.max(F.when(F.col("doc_type") == t, F.col("content"))).alias(t) for t in REQUIRED_DOCS])
-    told = alerts.groupBy("repo").agg(
-        F.sum("n_lines").cast("bigint").alias("alert_files"), F.count(F.lit(1)).alias("alert_parts"), F.min("text").alias("text"))
+    told = alerts.groupBy("repo").agg(F.count(F.lit(1)).alias("alert_files"))
     context, deps, patterns = (F.col(f"`{t}`") for t in REQUIRED_DOCS)
     combined = F.concat(
         F.lit("# Repository Context\n\n"), context, F.lit("\n\n---\n\n# Dependency Map\n\n"), deps,
@@ -129,5 +129,5 @@ def load_context(heads: DataFrame, docs: DataFrame, alerts: DataFrame, force_ref
         (served & (F.col("cached_hash") != F.col("head_hash"))).alias("stale"),
         "cached_hash", F.col("head_hash").alias("current_hash"), F.when(served, combined).alias("content"),
         F.coalesce("alert_files", F.lit(0)).cast("bigint").alias("alert_files"),
-        F.when(F.col("alert_parts") == 1, F.col("text")).alias("alert"),
+        F.when(F.col("alert_files") > 0, F.format_string(ALERT_HEADER + ": %d", "alert_files")).alias("alert"),
     )

@@ -1,6 +1,6 @@
 """Shapes that recur and must survive a group that holds a third of all rows."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 32
@@ -40,36 +40,3 @@ def broadcast_if_bounded(df: DataFrame, groups: DataFrame, k: int, max_rows=MAX_
     """
     n = groups.distinct().limit(max_rows // k + 1).count()
     return F.broadcast(df) if n * k <= max_rows else df
-
-
-def spread_bucket(spread, total, max_lines: int) -> Column:
-    """Even bucket number for the rows of an oversized group; md5 keeps it stable on every engine."""
-    digits = F.conv(F.substring(F.md5(spread), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(digits, F.ceil(total / F.lit(max_lines)).cast("bigint"))
-
-
-def joined_lines(df: DataFrame, keys, line, order, spread=None, lead=None, bucket=None, sep="\n",
-                 max_lines=10_000) -> DataFrame:
-    """Ordered text of each group as (keys, part, n_lines, total_lines, text).
-
-    A group of up to ``max_lines`` rows is one text, part 0. A larger one is split into several parts so that
-    no task gathers it whole, and no line is lost: parts follow ``lead`` (a small integer that leads the
-    order), then ``bucket`` (an order-keeping number, if there is one) or an even spread of ``spread``.
-    """
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    big = F.col("_total") > max_lines
-    if bucket is None:
-        bucket = spread_bucket(spread, F.col("_total"), max_lines)
-    if lead is not None:
-        bucket = lead.cast("bigint") * 1_000_000 + bucket
-    fields = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line"))
-    return (
-        df.join(totals, list(keys))
-        .select(*keys, F.when(big, bucket).otherwise(F.lit(0)).cast("bigint").alias("part"), "_total", fields.alias("_item"))
-        .groupBy(*keys, "part", F.col("_total").alias("total_lines"))
-        .agg(F.sort_array(F.collect_list("_item")).alias("_items"))
-        .select(
-            *keys, "part", F.size("_items").cast("bigint").alias("n_lines"), "total_lines",
-            F.array_join(F.col("_items.line"), sep).alias("text"),
-        )
-    )

@@ -3,8 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .groups import joined_lines
-
 # import ... from 'x', require('x'), from x import y
 IMPORT_PATTERN = r"""(?m)(?:\bfrom\s+|\bimport\s+|\brequire\(\s*)['"]([^'"]+)['"]"""
 
@@ -39,19 +37,15 @@ def package_name(specifier):
     return F.regexp_extract(specifier, r"^(@[^/]+/[^/]+|[^/]+)", 1)
 
 
-def external_usage(edges: DataFrame, package="target", max_lines=10_000) -> DataFrame:
-    """Targets outside the inventory with the files that use them.
+def external_usage(edges: DataFrame, package="target") -> DataFrame:
+    """Targets outside the inventory with the files that use them: (package, source), once each.
 
-    (package, part, n_files, total_files, files): a package used by more than ``max_lines`` files has its list in
-    several parts.
+    A row per use at every size; ``package_counts`` counts them.
     """
-    outside = edges.filter(F.col("target_id").isNull()).select(
-        (F.col(package) if isinstance(package, str) else package).alias("package"), "source"
-    ).distinct()
-    parts = joined_lines(
-        outside, ["package"], F.col("source").cast("string"), [F.col("source")],
-        spread=F.col("source").cast("string"), sep=",", max_lines=max_lines,
-    )
-    return parts.select(
-        "package", "part", F.col("n_lines").alias("n_files"), F.col("total_lines").alias("total_files"), F.col("text").alias("files")
-    )
+    named = F.col(package) if isinstance(package, str) else package
+    return edges.filter(F.col("target_id").isNull()).select(named.alias("package"), "source").distinct()
+
+
+def package_counts(usage: DataFrame) -> DataFrame:
+    """Number of files that use each package."""
+    return usage.groupBy("package").agg(F.count(F.lit(1)).alias("n_files"))

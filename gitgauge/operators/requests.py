@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import task_count
-from .groups import joined_lines
 from .scan import implementation_files, with_content
 
 # --- fixed values -----------------------------------------------------------------------------------
@@ -167,20 +166,14 @@ def pattern_prompt(selected: DataFrame, files: DataFrame, n=12, lines=200) -> Da
     return _prompts(code.select("repo", "rank", block.alias("block")), DOC_TASKS["patterns"])
 
 
-def message_split(messages: DataFrame, max_lines=10_000) -> DataFrame:
-    """System messages of a conversation joined by a blank line; the others stay rows in their order.
+def message_split(messages: DataFrame) -> DataFrame:
+    """Messages told apart by what a provider does with them: (conv_id, kind, pos, role, text), read in the order of pos.
 
-    (conv_id, kind, pos, role, text): kind ``system`` has one row per conversation, or one per run of turns when there
-    are more than ``max_lines`` of them; kind ``message`` is not shuffled at all.
+    Kind ``system`` is what goes into the system text, joined by a blank line by whoever sends it; all others are kind
+    ``message``. Row by row, so a conversation of any length is not shuffled.
     """
-    system = joined_lines(
-        messages.filter(F.col("role") == "system"), ["conv_id"], F.col("text"), [F.col("turn")],
-        bucket=F.floor(F.col("turn") / F.lit(max_lines)), sep="\n\n", max_lines=max_lines,
-    )
-    rest = messages.filter(F.col("role") != "system")
-    return system.select(
-        "conv_id", F.lit("system").alias("kind"), F.col("part").alias("pos"), F.lit("system").alias("role"), "text"
-    ).unionByName(rest.select("conv_id", F.lit("message").alias("kind"), F.col("turn").alias("pos"), "role", "text"))
+    kind = F.when(F.col("role") == "system", "system").otherwise("message")
+    return messages.filter(F.col("role").isNotNull()).select("conv_id", kind.alias("kind"), F.col("turn").alias("pos"), "role", "text")
 
 
 def request_fanout(stacks: DataFrame, targets=TARGETS) -> DataFrame:

@@ -206,6 +206,7 @@ VIEW_QUERIES = {
     # links
     "link_edges": _edges,
     "external_usage": lambda t: links.external_usage(_edges(t)),
+    "package_counts": lambda t: links.package_counts(links.external_usage(_edges(t))),
     # health
     "health_checks": _checks,
     "health_score": lambda t: health.health_score(_checks(t)),

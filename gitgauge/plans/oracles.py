@@ -123,14 +123,6 @@ due AS (
   FROM heads h WHERE EXISTS (
       SELECT 1 FROM run_log r WHERE r.repo = h.repo AND contains(line, '| Git: ' || short_hash || ' | DOOM | detected')))"""
 
-ALERT = """
-alerts AS (
-  SELECT repo, count(*) AS n_lines,
-    'files changed again and again in recent commits' || chr(10) || string_agg(
-      '  ' || path || ' (' || commit_count || ' times · ' || percentage || '%)', chr(10)
-      ORDER BY commit_count DESC, path) AS text
-  FROM {hot} GROUP BY repo)"""
-
 DOCS = COMMITS + """,
 kinds(doc_type, token_count) AS (VALUES ('context', 4096), ('dependency-map', 4000), ('patterns', 4000)),
 docs AS (
@@ -369,8 +361,9 @@ def oracle_sql():
     due = "SELECT repo, short_hash, path, commit_count, percentage FROM hot JOIN due USING (repo)"
     sql["pending_alerts"] = _with(PENDING, due + " WHERE NOT shown")
     sql["pending_alerts_stateless"] = _with(PENDING, due)
-    sql["alert_text"] = _with(HOT + "," + ALERT.format(hot="hot"),
-                              "SELECT repo, CAST(0 AS BIGINT) AS part, n_lines, text FROM alerts")
+    sql["alert_text"] = _with(HOT, """
+        SELECT repo, commit_count, path, '  ' || path || ' (' || commit_count || ' times · ' || percentage || '%)' AS line
+        FROM hot""")
     sql["recent_commits_digest"] = _with(COMMITS, """
         SELECT repo, string_agg(commit_id || ' ' || message, chr(10) ORDER BY rank) AS digest
         FROM newest WHERE rank <= 5 GROUP BY repo""")
@@ -400,37 +393,40 @@ def oracle_sql():
             string_agg(line, chr(10) ORDER BY seq, line) FILTER (kind = 'unstaged') AS u,
             string_agg(line, chr(10) ORDER BY seq, line) FILTER (kind = 'committed') AS c
           FROM tree GROUP BY repo),
-        listed AS (
-          SELECT repo, string_agg(path, chr(10) ORDER BY path) AS paths
-          FROM (SELECT DISTINCT repo, path FROM tree WHERE kind <> 'committed') GROUP BY repo),
+        files AS (SELECT DISTINCT repo, path FROM tree WHERE kind <> 'committed'),
+        listed AS (SELECT repo, sum(length(path) + 1) AS chars FROM files GROUP BY repo),
         digests AS (
           SELECT repo, string_agg(commit_id || ' ' || message, chr(10) ORDER BY rank) AS digest
           FROM newest WHERE rank <= 5 GROUP BY repo),
         docs AS (
-          SELECT n_nationkey AS repo, coalesce(branch, 'unknown') AS branch, paths, digest,
+          SELECT n_nationkey AS repo, coalesce(branch, 'unknown') AS branch, chars, digest,
             coalesce(nullif(concat_ws(chr(10) || chr(10), s, u), ''), c, '') AS diff,
             CASE WHEN branch = 'O' THEN 'close open orders' END AS goal
           FROM nation LEFT JOIN heads h ON h.repo = n_nationkey LEFT JOIN parts p ON p.repo = n_nationkey
           LEFT JOIN listed l ON l.repo = n_nationkey LEFT JOIN digests d ON d.repo = n_nationkey),
         written AS (
-          SELECT repo, diff <> '' OR paths IS NOT NULL AS has_changes,
-            CASE WHEN diff <> '' OR paths IS NOT NULL THEN
-              '# Hand-over' || chr(10) || chr(10) || '**Branch**: ' || branch || chr(10) || chr(10)
-              || '## Modified Files' || chr(10) || chr(10) || coalesce(paths, 'None') || chr(10) || chr(10)
-              || '## Last commits' || chr(10) || chr(10) || '```' || chr(10) || coalesce(digest, '') || chr(10) || '```'
+          SELECT repo, diff <> '' OR chars IS NOT NULL AS has_changes, chars,
+            '# Hand-over' || chr(10) || chr(10) || '**Branch**: ' || branch || chr(10) || chr(10) AS title,
+            '## Modified Files' || chr(10) || chr(10)
+              || CASE WHEN chars IS NULL THEN 'None' || chr(10) ELSE '' END AS heading,
+            chr(10) || '## Last commits' || chr(10) || chr(10) || '```' || chr(10) || coalesce(digest, '') || chr(10) || '```'
               || chr(10) || chr(10) || '## Diff' || chr(10) || chr(10) || '```diff' || chr(10) || substr(diff, 1, 60)
               || CASE WHEN length(diff) > 60 THEN chr(10) || '...(truncated)' ELSE '' END || chr(10) || '```' || chr(10)
-              || coalesce(chr(10) || '## Goal' || chr(10) || chr(10) || goal || chr(10), '')
-            ELSE
-              '# Hand-over' || chr(10) || chr(10) || '**Branch**: ' || branch || chr(10) || chr(10) || '## State'
-              || chr(10) || chr(10) || 'Nothing is modified.' || chr(10) || chr(10)
+              || coalesce(chr(10) || '## Goal' || chr(10) || chr(10) || goal || chr(10), '') AS rest,
+            '## State' || chr(10) || chr(10) || 'Nothing is modified.' || chr(10) || chr(10)
               || '## Last commits' || chr(10) || chr(10) || '```' || chr(10) || coalesce(digest, 'none')
               || chr(10) || '```' || chr(10) || chr(10) || '## What comes next' || chr(10) || chr(10)
-              || coalesce(goal, 'No goal is set.') || chr(10) END AS content
+              || coalesce(goal, 'No goal is set.') || chr(10) AS idle
           FROM docs)
-        SELECT repo, CAST(0 AS BIGINT) AS part, has_changes, content,
-          CASE WHEN has_changes THEN CAST(ceil(length(content) / 4) AS BIGINT) ELSE 0 END AS token_count
-        FROM written""")
+        SELECT repo, CAST(0 AS BIGINT) AS section, CAST(NULL AS VARCHAR) AS path, has_changes,
+          title || CASE WHEN has_changes THEN heading ELSE idle END AS content,
+          CASE WHEN has_changes THEN CAST(ceil((length(title || heading || rest) + coalesce(chars, 0)) / 4) AS BIGINT)
+            ELSE 0 END AS token_count
+        FROM written
+        UNION ALL
+        SELECT repo, 1, path, true, path || chr(10), 0 FROM files WHERE repo IN (SELECT n_nationkey FROM nation)
+        UNION ALL
+        SELECT repo, 2, NULL, true, rest, 0 FROM written WHERE has_changes""")
 
     # --- text
     exports = f"{nl} || {nl} || '// Exports:' || {nl} || {_EXPORTS}"
@@ -535,8 +531,8 @@ def oracle_sql():
         SELECT repo, path, CASE WHEN d.source <> 'src7' THEN summary END
         FROM told t JOIN files f USING (repo, path) JOIN documents d ON d.doc_id = f.file_id WHERE repo IN ('fr', 'de')""")
     sql["load_context"] = _with(
-        DOCS + "," + PENDING.replace(COMMITS + ",", "", 1) + "," + ALERT.format(hot="(SELECT hot.* FROM hot JOIN due USING (repo))"),
-        """,
+        DOCS + "," + PENDING.replace(COMMITS + ",", "", 1), """,
+        alerts AS (SELECT repo, count(*) AS n_lines FROM hot JOIN due USING (repo) GROUP BY repo),
         texts AS (
           SELECT repo, any_value(commit_hash) AS cached_hash,
             '# Repository Context' || chr(10) || chr(10) || max(content) FILTER (doc_type = 'context')
@@ -547,7 +543,8 @@ def oracle_sql():
           FROM store GROUP BY repo)
         SELECT h.repo, content IS NOT NULL AS from_cache,
           content IS NOT NULL AND cached_hash <> head_hash AS stale, cached_hash, head_hash AS current_hash, content,
-          coalesce(n_lines, 0) AS alert_files, text AS alert
+          coalesce(n_lines, 0) AS alert_files,
+          'files changed again and again in recent commits: ' || n_lines AS alert
         FROM heads h LEFT JOIN texts USING (repo) LEFT JOIN alerts USING (repo)""")
 
     # --- requests and costs
@@ -616,11 +613,8 @@ def oracle_sql():
           TIMESTAMP '{NOW}' AS saved_at, CAST(ceil(length(content) / 4) AS BIGINT) AS token_count
         FROM made WHERE repo <> 'fr'""")
     sql["message_split"] = """
-        SELECT conv_id, 'system' AS kind, CAST(0 AS BIGINT) AS pos, 'system' AS role,
-          string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text
-        FROM conversations WHERE role = 'system' GROUP BY conv_id
-        UNION ALL
-        SELECT conv_id, 'message', turn, role, text FROM conversations WHERE role <> 'system'"""
+        SELECT conv_id, CASE WHEN role = 'system' THEN 'system' ELSE 'message' END AS kind, turn AS pos, role, text
+        FROM conversations WHERE role IS NOT NULL"""
     rows = ", ".join(
         f"('{t}', '{p}', {n}, '{quote(TARGET_TASKS[t])}')"
         for t, p, n in (("claude-code", "CLAUDE.md", 3000), ("cursor", ".cursorrules", 2500),
@@ -667,9 +661,9 @@ def oracle_sql():
     # --- links
     sql["link_edges"] = _with(EDGES, "SELECT * FROM edges")
     sql["external_usage"] = _with(EDGES, """
-        SELECT target AS package, CAST(0 AS BIGINT) AS part, count(*) AS n_files, count(*) AS total_files,
-          string_agg(source, ',' ORDER BY source) AS files
-        FROM edges WHERE target_id IS NULL GROUP BY target""")
+        SELECT DISTINCT target AS package, source FROM edges WHERE target_id IS NULL""")
+    sql["package_counts"] = _with(EDGES, """
+        SELECT target AS package, count(DISTINCT source) AS n_files FROM edges WHERE target_id IS NULL GROUP BY target""")
 
     # --- health
     sql["health_checks"] = _with(CHECKS, "SELECT * FROM checks")

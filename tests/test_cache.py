@@ -87,13 +87,13 @@ def test_incremental_plan(frame):
 def test_context_is_served_stale_or_not_at_all(frame):
     docs = frame(DOCS, *[doc(k, "h1", 1, r) for k in cache.REQUIRED_DOCS for r in "ab"], doc("context", "h1", 1, "c"))
     heads = frame(HEADS, ("a", "h1"), ("b", "h2"), ("c", "h1"))
-    alerts = frame("repo string, part bigint, n_lines bigint, text string", ("a", 0, 2, "alert"), ("b", 0, 5, "x"), ("b", 7, 5, "y"))
+    alerts = frame("repo string, commit_count bigint, path string, line string", ("a", 5, "x", "x"), ("a", 4, "y", "y"), ("b", 4, "y", "y"))
     got = {r.repo: r for r in cache.load_context(heads, docs, alerts).collect()}
     assert got["a"].content == (
         "# Repository Context\n\ncontext@h1\n\n---\n\n# Dependency Map\n\ndependency-map@h1\n\n---\n\n# Patterns\n\npatterns@h1")
-    assert (got["a"].stale, got["a"].alert, got["a"].alert_files) == (False, "alert", 2)
-    assert (got["b"].from_cache, got["b"].stale, got["b"].alert, got["b"].alert_files) == (True, True, None, 10)
-    assert (got["c"].from_cache, got["c"].content) == (False, None)
+    assert (got["a"].stale, got["a"].alert, got["a"].alert_files) == (False, "files changed again and again in recent commits: 2", 2)
+    assert (got["b"].from_cache, got["b"].stale, got["b"].alert_files) == (True, True, 1)
+    assert (got["c"].from_cache, got["c"].content, got["c"].alert, got["c"].alert_files) == (False, None, None, 0)
     forced = cache.load_context(heads, docs, alerts, force_refresh=True).collect()
     assert all(r.content is None and not r.from_cache for r in forced)
 

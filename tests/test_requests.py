@@ -60,15 +60,8 @@ def test_messages(frame):
     df = frame("conv_id bigint, turn bigint, role string, text string", (1, 3, "system", "b"), (1, 0, "system", "a"),
                (1, 1, "user", "u"), (1, 2, "assistant", "v"), (2, 0, "user", "w"))
     assert tuples(requests.message_split(df)) == [
-        (1, "message", 1, "user", "u"), (1, "message", 2, "assistant", "v"), (1, "system", 0, "system", "a\n\nb"),
-        (2, "message", 0, "user", "w")]
-
-
-def test_a_conversation_of_many_system_messages_stays_whole(spark):
-    df = spark.range(1000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("system").alias("role"),
-                                  F.col("id").cast("string").alias("text"))
-    parts = sorted(requests.message_split(df, max_lines=100).collect(), key=lambda r: r.pos)
-    assert len(parts) == 10 and "\n\n".join(p.text for p in parts) == "\n\n".join(map(str, range(1000)))
+        (1, "message", 1, "user", "u"), (1, "message", 2, "assistant", "v"), (1, "system", 0, "system", "a"),
+        (1, "system", 3, "system", "b"), (2, "message", 0, "user", "w")]
 
 
 def test_fanout(frame):
@@ -111,15 +104,15 @@ def test_imports_packages_and_usage(frame):
     edges = links.link_edges(keyed, inventory)
     assert [(r.source, r.target_id) for r in edges.filter("target_id is not null").collect()] == [("src/m.ts", "src/lib.ts")]
     used = links.external_usage(edges, links.package_name("target"))
-    assert tuples(used) == [("@scope/kit", 0, 1, 1, "src/m.ts"), ("lodash", 0, 2, 2, "src/m.ts,src/n.ts")]
+    assert tuples(used) == [("@scope/kit", "src/m.ts"), ("lodash", "src/m.ts"), ("lodash", "src/n.ts")]
+    assert tuples(links.package_counts(used)) == [("@scope/kit", 1), ("lodash", 2)]
 
 
-def test_popular_package_is_listed_in_parts(spark):
-    edges = spark.range(1000).select(
-        F.format_string("f%04d.ts", "id").alias("source"), F.lit("react").alias("target"), F.lit(None).cast("string").alias("target_id"))
-    parts = links.external_usage(edges, max_lines=100).collect()
-    names = [n for p in parts for n in p.files.split(",")]
-    assert len(parts) > 5 and len(names) == len(set(names)) == 1000 and {p.total_files for p in parts} == {1000}
+def test_popular_package_has_a_row_per_file(spark):
+    edges = spark.range(12_000).select(
+        F.format_string("f%05d.ts", "id").alias("source"), F.lit("react").alias("target"), F.lit(None).cast("string").alias("target_id"))
+    used = links.external_usage(edges.unionByName(edges))
+    assert used.count() == 12_000 and tuples(links.package_counts(used)) == [("react", 12_000)]
 
 
 class Slow:
