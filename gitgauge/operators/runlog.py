@@ -100,15 +100,18 @@ def run_success_rate(lines: DataFrame) -> DataFrame:
     )
 
 
-def alert_marks(lines: DataFrame) -> DataFrame:
-    """(repo, commit_hash, shown) for each alert that was raised or delivered."""
+def marked_lines(lines: DataFrame, *more) -> DataFrame:
+    """(repo, commit_hash, shown, ...) of each line that raises an alert or marks it as delivered."""
     raised = F.regexp_extract("line", r"\| Git: (\S+) \| DOOM \| detected", 1)
     shown = F.regexp_extract("line", r"DOOM_SHOWN \| Git: (\S+)", 1)
-    return (
-        lines.select("repo", F.when(raised != "", raised).otherwise(shown).alias("commit_hash"),
-                     (raised == "").alias("shown"))
-        .filter(F.col("commit_hash") != "").distinct()
-    )
+    return lines.select(
+        "repo", F.when(raised != "", raised).otherwise(shown).alias("commit_hash"), (raised == "").alias("shown"), *more
+    ).filter(F.col("commit_hash") != "")
+
+
+def alert_marks(lines: DataFrame) -> DataFrame:
+    """(repo, commit_hash, shown) for each alert that was raised or delivered."""
+    return marked_lines(lines).distinct()
 
 
 def pending_alerts(lines: DataFrame, heads: DataFrame, hot: DataFrame, check_shown=True) -> DataFrame:

@@ -212,6 +212,7 @@ VIEW_QUERIES = {
     "health_score": lambda t: health.health_score(_checks(t)),
     # streams, run to the end of the given tables
     "stream_refresh": streams.stream_refresh,
+    "stream_refresh_log": streams.stream_refresh_log,
     "stream_hot_files": streams.stream_hot_files,
     "stream_alert_once": streams.stream_alert_once,
     "stream_run_lifecycle": streams.stream_run_lifecycle,

@@ -681,7 +681,12 @@ def oracle_sql():
               GROUP BY ALL)
         QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY ts DESC, commit_id DESC) = 1""")
     sql["stream_hot_files"] = sql["hot_files"]
-    sql["stream_alert_once"] = _with(RUN_LOG, "SELECT DISTINCT repo, hash AS commit_hash FROM run_log WHERE status = 'DOOM'")
+    sql["stream_alert_once"] = _with(RUN_LOG, """
+        SELECT repo, hash AS commit_hash FROM run_log GROUP BY repo, hash
+        HAVING min(seq) FILTER (status = 'DOOM') < coalesce(min(seq) FILTER (status = 'DOOM_SHOWN'), 9223372036854775807)""")
+    sql["stream_refresh_log"] = _with(COMMITS + "," + TOUCHES, """
+        SELECT repo, commit_id, unnest(['STARTED', 'SUCCESS']) AS status FROM commits
+        WHERE commit_id IN (SELECT commit_id FROM touches WHERE path NOT LIKE '%.md')""")
     sql["stream_run_lifecycle"] = _with(RUN_LOG, """,
         lines AS (
           SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens
@@ -693,9 +698,9 @@ def oracle_sql():
             max(ts) AS last
           FROM sessions GROUP BY repo, hash, session)
         SELECT repo, commit_hash, started_at, CASE WHEN fin.at >= started_at THEN fin.at END AS finished_at,
-          CASE WHEN fin.at >= started_at THEN fin.status ELSE 'TIMED_OUT' END AS status,
+          CASE WHEN fin.at >= started_at THEN fin.status WHEN last + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM run_log) - INTERVAL 1 HOUR
+            THEN 'TIMED_OUT' ELSE 'OPEN' END AS status,
           CASE WHEN fin.at >= started_at THEN fin.seconds END AS seconds
         FROM runs
-        WHERE started_at IS NOT NULL
-          AND last + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM run_log) - INTERVAL 1 HOUR""")
+        WHERE started_at IS NOT NULL""")
     return sql

@@ -23,32 +23,38 @@ class StreamTables(Tables):
         return self.spark.readStream.schema(still.schema).parquet(f"{self.dir}/{name}.parquet*")
 
 
-def stream_refresh(t: Tables):
+def _refresh(t: Tables):
     commits = StreamTables(t.spark, t.dir, {"orders"}).commits().select("repo", "commit_id", "ts")
     contents = t.touch_rows("p_name").select(
         "commit_id", "path", paths.language().alias("language"),
         F.concat(F.lit("export const part = '"), "p_name", F.lit("'\nreturn part")).alias("content"))
-    summaries, _ = jobs.stream_refresh(commits, contents, shared_dir(t.spark, "refresh"))
+    return jobs.stream_refresh(commits, contents, shared_dir(t.spark, "refresh"))
+
+
+def stream_refresh(t: Tables):
+    summaries, _ = _refresh(t)
     return summaries.select("repo", "path", "commit_id", "summary")
 
 
+def stream_refresh_log(t: Tables):
+    _, log = _refresh(t)
+    return log.select("repo", "commit_id", "status")
+
+
 def stream_hot_files(t: Tables):
     """Touches come as one stream, commits as another one, so that commits without files count too."""
-    columns = ["repo", "commit_id", "ts", "path"]
-    ids = t.commits().select("repo", "commit_id", "ts")
-    touched = StreamTables(t.spark, t.dir, {"lineitem"}).coarse_rows().join(ids, "commit_id").select(*columns)
-    commits = StreamTables(t.spark, t.dir, {"orders"}).commits().select(
-        "repo", "commit_id", "ts", F.lit(None).cast("string").alias("path"))
-    return jobs.stream_hot_files(touched.unionByName(commits), shared_dir(t.spark, "hot"))
+    touches = StreamTables(t.spark, t.dir, {"lineitem"}).coarse_rows()
+    commits = StreamTables(t.spark, t.dir, {"orders"}).commits()
+    return jobs.stream_hot_files(commits, touches, shared_dir(t.spark, "hot"))
 
 
 def stream_alert_once(t: Tables):
-    lines = StreamTables(t.spark, t.dir, {"events"}).run_log().select("repo", "line")
+    lines = StreamTables(t.spark, t.dir, {"events"}).run_log().select("repo", "seq", "line")
     return jobs.stream_alert_once(lines, shared_dir(t.spark, "alerts"))
 
 
 def stream_run_lifecycle(t: Tables):
     lines = StreamTables(t.spark, t.dir, {"events"}).run_log()
-    runs = jobs.stream_run_lifecycle(lines, shared_dir(t.spark, "runs"))
+    runs = jobs.stream_run_lifecycle(lines, t.run_log(), shared_dir(t.spark, "runs"))
     ntz = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "finished_at")]
     return runs.select("repo", "commit_hash", *ntz, "status", "seconds")

@@ -3,11 +3,9 @@ from datetime import datetime, timedelta
 
 import pytest
 from conftest import tuples
-from pyspark.sql import functions as F
 
 from gitgauge.operators import history
 from gitgauge.streaming import jobs
-from gitgauge.sources.state_table import StateTable
 
 EVENTS = "repo string, commit_id bigint, ts timestamp_ntz, path string"
 
@@ -29,6 +27,16 @@ def history_rows(seed, commits=60):
     return rows
 
 
+COMMITS, TOUCHES = "repo string, commit_id bigint, ts timestamp_ntz", "repo string, commit_id bigint, path string"
+
+
+def hot(spark, frame, folder, out, batches):
+    """Touches and commits arrive as two streams; touches of a batch may come long before their commit."""
+    touches = feed(spark, frame, f"{folder}/touches", TOUCHES, [[(r[0], r[1], r[3]) for r in b if r[3]] for b in batches])
+    commits = feed(spark, frame, f"{folder}/commits", COMMITS, [[r[:3] for r in b] for b in reversed(batches)])
+    return jobs.stream_hot_files(commits, touches, out)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_hot_files_in_any_order_of_arrival(spark, frame, tmp_path, seed):
     rows = history_rows(seed)
@@ -37,32 +45,17 @@ def test_hot_files_in_any_order_of_arrival(spark, frame, tmp_path, seed):
     want = tuples(history.hot_files(commits, all_rows.filter("path is not null").select("repo", "commit_id", "path")))
     random.Random(seed).shuffle(rows)  # commits arrive late, and in pieces
     batches = [rows[i::5] + rows[:3] for i in range(5)]
-    stream = feed(spark, frame, str(tmp_path / "in"), EVENTS, batches)
-    got = jobs.stream_hot_files(stream, str(tmp_path / "out"))
+    got = hot(spark, frame, str(tmp_path / "in"), str(tmp_path / "out"), batches)
     assert tuples(got) == want and want
 
 
 def test_hot_files_go_on_after_a_stop(spark, frame, tmp_path):
     rows = history_rows(7)
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    jobs.stream_hot_files(feed(spark, frame, source, EVENTS, [rows[:40], rows[40:80]]), out)
-    got = jobs.stream_hot_files(feed(spark, frame, source, EVENTS, [rows[80:]]), out)
-    fresh = jobs.stream_hot_files(feed(spark, frame, str(tmp_path / "in2"), EVENTS, [rows]), str(tmp_path / "out2"))
-    assert tuples(got) == tuples(fresh)
-
-
-def test_state_survives_replays_and_forgets_what_is_copied(spark, frame, tmp_path):
-    newest = lambda df: df.groupBy("k").agg(F.max("v").alias("v"))
-    state = StateTable(spark, str(tmp_path / "s"), "k string, v bigint", newest, copy_every=2)
-    assert state.current().count() == 0 and state.last_version() == -1
-    for batch in (0, 1, 1, 2, 3, 3, 4, 5, 5, 6):
-        assert tuples(state.current(batch)) == ([("a", batch - 1), *[(f"b{i}", 1) for i in range(batch)]] if batch else [])
-        state.append(batch, frame("k string, v bigint", ("a", batch), (f"b{batch}", 1)))
-    assert tuples(state.current()) == [("a", 6), *[(f"b{i}", 1) for i in range(7)]]
-    assert tuples(state.current(5)) == [("a", 4), *[(f"b{i}", 1) for i in range(5)]]
-    assert state._versions("full") == [3, 5] and state._versions("delta") == [4, 5, 6]
-    (tmp_path / "s/delta/6/_SUCCESS").unlink()  # an unfinished folder does not count
-    assert ("a", 5) in tuples(state.current())
+    hot(spark, frame, source, out, [rows[:40], rows[40:80]])
+    got = hot(spark, frame, source, out, [rows[80:]])
+    fresh = hot(spark, frame, str(tmp_path / "in2"), str(tmp_path / "out2"), [rows])
+    assert tuples(got) == tuples(fresh) and tuples(got)
 
 
 class Client:
@@ -93,13 +86,14 @@ def test_refresh(spark, frame, tmp_path):
 
 
 def test_alerts_once_ever(spark, frame, tmp_path):
-    doom = "t | Git: {} | DOOM | detected"
-    batches = [[("r", doom.format("a"))] * 3 + [("r", "DOOM_SHOWN | Git: z")], [("r", doom.format("a")), ("r", doom.format("b"))],
-               [("q", doom.format("a")), ("r", doom.format("b"))]]
+    schema, doom, told = "repo string, seq bigint, line string", "t | Git: {} | DOOM | detected", "DOOM_SHOWN | Git: {}"
+    batches = [[("r", i, doom.format("a")) for i in range(3)] + [("r", 3, told.format("z"))],
+               [("r", 4, doom.format("a")), ("r", 5, doom.format("b")), ("r", 6, doom.format("z"))],
+               [("q", 7, doom.format("a")), ("r", 8, told.format("b"))]]
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    got = jobs.stream_alert_once(feed(spark, frame, source, "repo string, line string", batches), out)
-    assert tuples(got) == [("q", "a"), ("r", "a"), ("r", "b")]
-    got = jobs.stream_alert_once(feed(spark, frame, source, "repo string, line string", [[("r", doom.format("a"))]]), out)
+    got = jobs.stream_alert_once(feed(spark, frame, source, schema, batches), out)
+    assert tuples(got) == [("q", "a"), ("r", "a"), ("r", "b")]  # z was shown before it was raised
+    got = jobs.stream_alert_once(feed(spark, frame, source, schema, [[("r", 9, doom.format("a"))]]), out)
     assert tuples(got) == [("q", "a"), ("r", "a"), ("r", "b")]
 
 
@@ -113,5 +107,6 @@ def test_run_lifecycle(spark, frame, tmp_path):
         [line(40, "e", "STARTED")],
     ]
     stream = feed(spark, frame, str(tmp_path / "in"), "repo string, seq bigint, ts timestamp_ntz, line string", batches)
-    got = jobs.stream_run_lifecycle(stream, str(tmp_path / "out"))
-    assert tuples(got, "commit_hash", "status", "seconds") == [("a", "SUCCESS", 720), ("b", "TIMED_OUT", None), ("c", "FAILED", 3600)]
+    got = jobs.stream_run_lifecycle(stream, spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "out"))
+    assert tuples(got, "commit_hash", "status", "seconds") == [
+        ("a", "SUCCESS", 720), ("b", "TIMED_OUT", None), ("c", "FAILED", 3600), ("e", "OPEN", None)]
