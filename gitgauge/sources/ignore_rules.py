@@ -10,18 +10,40 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 
 
+# what a backslash makes literal, the sign that stands for it meanwhile, and the regex of the literal
+_ESCAPED = [("\\\\", "\u0003", "\\\\"), ("\\*", "\u0004", "\\*"), ("\\?", "\u0005", "\\?"), ("\\[", "\u0006", "\\[")]
+_CLASS = r"\[!?[^!\[\]\\/&*?][^\[\]\\/&*?]*\]"  # a glob sign within brackets is not supported
+
+
+def _unescaped(body):
+    """The rule without backslashes: an escaped glob sign has a stand-in, any other escaped character is itself."""
+    for written, stand_in, _ in _ESCAPED:
+        body = F.replace(body, F.lit(written), F.lit(stand_in))
+    return F.regexp_replace(body, r"\\(.)", "$1")
+
+
+def _sound(body):
+    """Is every bracket of an unescaped rule closed, every range upwards, and no backslash left over at the end?"""
+    ranges = F.regexp_extract_all(F.array_join(F.regexp_extract_all(body, F.lit(_CLASS), F.lit(0)), ""), F.lit(r"[^\[\]!]-[^\[\]]"), F.lit(0))
+    upwards = F.forall(ranges, lambda r: F.ascii(F.substring(r, 1, 1)) <= F.ascii(F.substring(r, 3, 1)))
+    return ~F.contains(F.regexp_replace(body, _CLASS, ""), F.lit("[")) & ~F.contains(body, F.lit("\\")) & upwards
+
+
 def _as_regex(body):
-    """Glob of one rule, without ``!`` and outer slashes, to a regex over the path below the rule's folder."""
+    """Glob of one unescaped rule, without ``!`` and outer slashes, to a regex over the path below the rule's folder."""
     out = F.regexp_replace(body, r"([.+^$(){}|])", r"\\$1")
     out = F.regexp_replace(out, r"\[!", "[^")
     for glob, stand_in in (("**/", "\u0001"), ("/**", "\u0002"), ("*", "[^/]*"), ("?", "[^/]")):
         out = F.replace(out, F.lit(glob), F.lit(stand_in))
     out = F.replace(out, F.lit("\u0001"), F.lit("(?:.*/)?"))
-    return F.replace(out, F.lit("\u0002"), F.lit("/.*"))
+    out = F.replace(out, F.lit("\u0002"), F.lit("/.*"))
+    for _, stand_in, literal in _ESCAPED:
+        out = F.replace(out, F.lit(stand_in), F.lit(literal))
+    return out
 
 
 def parsed_rules(content):
-    """Array of struct(regex, keep, dir_only) of an ignore file, in file order."""
+    """Array of struct(regex, keep, dir_only) of an ignore file, in file order. A malformed rule matches nothing."""
 
     def rule(line):
         t = F.rtrim(F.regexp_replace(line, r"\r$", ""))
@@ -30,10 +52,10 @@ def parsed_rules(content):
         dir_only = t.endswith("/")
         body = F.regexp_replace(t, "/+$", "")
         anchored = F.contains(body, F.lit("/"))
-        body = F.regexp_replace(body, "^/+", "")
+        body = _unescaped(F.regexp_replace(body, "^/+", ""))
         start = F.when(anchored, F.lit("^")).otherwise(F.lit("^(?:.*/)?"))
         return F.struct(F.concat(start, _as_regex(body), F.lit("$")).alias("regex"), keep.alias("keep"),
-                        dir_only.alias("dir_only"), (F.length(body) > 0).alias("real"))
+                        dir_only.alias("dir_only"), ((F.length(body) > 0) & _sound(body)).alias("real"))
 
     written = F.filter(text.lines_of(content), lambda x: (F.length(text.trimmed(x)) > 0) & ~x.startswith("#"))
     return F.filter(F.transform(written, rule), lambda r: r.real)

@@ -83,6 +83,16 @@ def test_ignore_rules(frame, rules, hidden):
     assert kept(frame, every, root=rules) == [p for p in every if p not in hidden]
 
 
+@pytest.mark.parametrize("rule,hidden", [
+    ("foo[", []), ("[z-a]*.ts", []), ("[!]x", []), ("a\\", []), ("[]", []), ("[[a]x.ts", []), ("[?-a]", []), ("[a&&b]x.ts", []),
+    ("\\q.c", ["q.c"]), ("\\*.md", ["*.md"]), ("[a-c]x.ts", ["ax.ts"]), ("[!a-c]x.ts", ["zx.ts"]), ("\\#a", ["#a"]), ("\\!a", ["!a"]), ("(a|b)+.js", ["(a|b)+.js"]),
+])
+def test_odd_rules_match_as_written_or_nothing(frame, rule, hidden):
+    names = ["q.c", "*.md", "b.md", "ax.ts", "zx.ts", "#a", "!a", "foo[", "(a|b)+.js", "keep.log"]
+    assert sorted(set(names) - set(kept(frame, names, root=rule))) == sorted(hidden)
+    assert "keep.log" not in kept(frame, names, root=rule + "\n*.log")  # a bad rule leaves the others in force
+
+
 def test_deeper_ignore_files_win(frame):
     every = ["a.log", "web/a.log", "web/in/a.log", "web/in/b.log"]
     assert kept(frame, every, root="*.log", web="!a.log", web__in="a.log") == ["web/a.log"]
