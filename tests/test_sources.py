@@ -1,6 +1,8 @@
 import pytest
 from conftest import tuples
 
+from gitgauge.operators import scan
+from gitgauge.plans import disk
 from gitgauge.sources import ignore_rules, inventory, settings, specs
 
 
@@ -41,6 +43,24 @@ def test_ignore_files_from_disk(spark, tree, tmp_path):
     assert [p for r, p in tuples(kept, "repo", "path") if r == "one"] == ["src/a.ts", "with space+plus.py"]
 
 
+def test_scan_from_disk(spark, tree, tmp_path):
+    (tmp_path / "one/.gitignore").write_text("*.md\nfoo[\nnode_modules/\n")
+    (tmp_path / "one/src/.gitignore").write_text("gen/\n")
+    for path in ("one/node_modules/k/i.ts", "one/src/gen/g.ts", "one/.cursorrules.md", "two/.hidden.go"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("hidden")
+    got = tuples(disk.scan_disk(spark, tree), "repo", "path", "content")
+    assert ("one", "src/a.ts") in tuples(disk.listed_files(spark, tree), "repo", "path") and ("two", "b.go", "package b") in got
+    assert not [p for _, p, _ in got if "gen/" in p or "node_modules" in p or p.endswith(".md") or p.startswith(".")]
+    more = tuples(disk.scan_disk(spark, tree, include_hidden=True), "repo", "path", "content")
+    assert set(more) - set(got) == {("two", ".hidden.go", "hidden")}
+
+
+def test_content_of_hidden_files_that_were_selected(frame):
+    files = frame("repo string, path string, size bigint, content string", ("r", ".x.ts", 1, "x"), ("r", "a.ts", 1, "a"))
+    assert tuples(scan.with_content(scan.adaptive_top_n(files), files), "path", "content") == [(".x.ts", "x"), ("a.ts", "a")]
+
+
 def test_content_of_chosen_files(spark, frame, tree):
     chosen = frame("repo string, path string", ("one", "src/a.ts"), ("one", "with space+plus.py"), ("two", "bad.go"), ("two", "gone"))
     assert tuples(inventory.read_content(chosen, tree, partitions=2)) == [
