@@ -10,7 +10,6 @@ from ..session import written  # noqa: F401  (re-exported for the operators)
 
 WORD_SEPARATORS = "\x09\x0a\x0b\x0c\x0d\x20"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_TO_SPACE = str.maketrans(dict.fromkeys("\x09\x0a\x0b\x0c\x0d", " "))
 
 
 def plain_docs(docs, id_col="doc_id", text_col="text", *more):
@@ -19,22 +18,23 @@ def plain_docs(docs, id_col="doc_id", text_col="text", *more):
         F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
 
-def words_of(text: str) -> list[str]:
-    """Runs of anything but the six ASCII white space characters, with A-Z in lower case."""
-    return text.translate(ASCII_LOWER).translate(_TO_SPACE).split(" ") if text.isascii() is False else _ascii_words(text)
+def raw_tokens(text: str) -> list[str]:
+    """Runs of anything but the six ASCII white space characters."""
+    if text.isascii() and not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text):
+        return text.split()
+    # bytes are split at those six only; str.split also splits at 0x1C-0x1F and at other spaces
+    words = text.encode("utf-8", "surrogatepass").split()
+    return b" ".join(words).decode("utf-8", "surrogatepass").split(" ") if words else []
 
 
-def _ascii_words(text):
-    # str.split also splits at 0x1C-0x1F, so those texts take the slow way
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return text.lower().translate(_TO_SPACE).split(" ")
-    return text.lower().split()
+def ascii_lower(text: str) -> str:
+    """A-Z in lower case and nothing else changed."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def tokens_of(text: str) -> list[str]:
-    """words_of without empty pieces."""
-    words = words_of(text)
-    return [w for w in words if w] if "" in words else words
+    """raw_tokens with A-Z in lower case."""
+    return raw_tokens(ascii_lower(text))
 
 
 def rows(schema: pa.Schema, columns: dict):

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, plain_docs, slices, training_fold, written
+from .common import ascii_lower, plain_docs, slices, training_fold, written
 
 DIM = 1 << 18
 CHAIN = 128
@@ -38,7 +38,7 @@ SCORES_DDL = "doc_id bigint, held_out boolean, score double, predicted int, span
 
 def tokens(text: str) -> list[str]:
     """Runs of letters and digits, with A-Z in lower case."""
-    return _TOKEN.findall(text.translate(ASCII_LOWER) if not text.isascii() else text.lower())
+    return _TOKEN.findall(ascii_lower(text))
 
 
 def features(word: str):

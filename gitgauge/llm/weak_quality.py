@@ -20,6 +20,8 @@ from .common import plain_docs, slices, tokens_of, written
 
 DIM = 1 << 18
 MAX_DOCS = 8_000
+MEMO_WORDS = 700_000  # words whose places a worker keeps; changes no result
+_PLACES = {}
 ROUNDS = 100
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"!?()\-]")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -90,20 +92,32 @@ def posterior(v, share, rates):
     return 1 / (1 + np.exp(-np.clip(d, -40, 40)))
 
 
-def places(text, words):
+def _place(word: str):
+    """Hashed places of a word and of its shape."""
+    import xxhash
+    shape = "aaa" if word.isalpha() and len(word) > 2 else _LETTER.sub("a", _DIGIT.sub("0", word))[-3:]
+    return tuple(xxhash.xxh32_intdigest(k.encode("utf-8", "surrogatepass")) % DIM for k in ("w" + word, "s" + shape))
+
+
+def places(words):
     """Hashed places and values of the features of the scorer: words and shapes of the whole text, of unit length."""
     import xxhash
+    if len(_PLACES) > MEMO_WORDS:
+        _PLACES.clear()
     counts = Counter(words)
-    shapes = Counter()
+    at, shapes = [], {}
     for w, c in counts.items():
-        shapes["aaa" if w.isalpha() and len(w) > 2 else _LETTER.sub("a", _DIGIT.sub("0", w))[-3:]] += c
-    items = [("w" + w, c) for w, c in counts.items()] + [("s" + s, c) for s, c in shapes.items()]
-    size = len(words).bit_length()
-    at = np.array([xxhash.xxh32_intdigest(k.encode("utf-8", "surrogatepass")) % DIM for k, _ in items] + [xxhash.xxh32_intdigest(f"n{size}") % DIM], np.int64)
-    x = np.array([np.log1p(c) for _, c in items] + [0.0])
+        if w not in _PLACES:
+            _PLACES[w] = _place(w)
+        word, shape = _PLACES[w]
+        at.append(word)
+        shapes[shape] = shapes.get(shape, 0) + c
+    at += shapes
+    at.append(xxhash.xxh32_intdigest(f"n{len(words).bit_length()}") % DIM)
+    x = np.log1p(np.array([*counts.values(), *shapes.values(), 0], np.float64))
     x /= np.sqrt((x * x).sum()) or 1.0
     x[-1] = 0.5
-    return at, x
+    return np.array(at, np.int64), x
 
 
 def fit_scorer(rows, rounds=8, rate=0.5, l2=1e-5):
@@ -123,18 +137,15 @@ def quality(docs, id_col="doc_id", text_col="text", max_docs=MAX_DOCS):
     """doc_id, votes, posterior (of the vote pattern), score (of the scorer), keep (score of one half or more)."""
     spark = docs.sparkSession
     docs = plain_docs(docs, id_col, text_col)
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("votes", pa.list_(pa.int32()))])
+    schema = pa.schema([("votes", pa.list_(pa.int32()))])
 
     def vote(batches):
-        import xxhash
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [votes(measures(t, tokens_of(t))) for t in texts]
-            h = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(h, pa.int64()), pa.array(found, pa.list_(pa.int32()))], schema=schema)
+            found = [votes(measures(t, tokens_of(t))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], schema=schema)
 
     # one row a pattern of votes: at most 3 ** labellers, whatever the number of documents
-    counts = docs.mapInArrow(vote, "doc_id bigint, h bigint, votes array<int>").groupBy("votes").count().collect()
+    counts = docs.select("text").mapInArrow(vote, "votes array<int>").groupBy("votes").count().collect()
     share, rates = em({tuple(r["votes"]): r["count"] for r in counts})
 
     # the sample: each text once, by hash, half by posterior below one half if there are as many
@@ -155,7 +166,7 @@ def quality(docs, id_col="doc_id", text_col="text", max_docs=MAX_DOCS):
 
     def features(batches):
         for batch in batches:
-            found = [places(t, tokens_of(t)) for t in batch.column("text").to_pylist()]
+            found = [places(tokens_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a for a, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64())), batch.column("y")], schema=feature)
 
@@ -172,7 +183,7 @@ def quality(docs, id_col="doc_id", text_col="text", max_docs=MAX_DOCS):
                 cut = [tokens_of(t) for t in texts]
                 v = [votes(measures(t, c)) for t, c in zip(texts, cut)]
                 post = posterior(np.array(v, np.int64).reshape(-1, len(LABELLERS)) + 1, share, rates)
-                z = np.array([w[at] @ x + bias for at, x in map(places, texts, cut)])
+                z = np.array([w[at] @ x + bias for at, x in map(places, cut)])
                 s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(v, pa.list_(pa.int32())), pa.array(post), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], schema=result)
 
