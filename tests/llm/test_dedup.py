@@ -152,3 +152,35 @@ def test_contained_items(spark, docs, bound):
     assert kept == {d for d, _ in given} - {w[0] for w in want} | {None}
     assert minhash_windows.contained_items(docs(), bench).count() == 0
     assert minhash_windows.contained_items(docs(*given), bench.limit(0)).count() == 0
+
+
+def test_line_dedup_finds_planted_passages(docs):
+    """Every line of a passage of 50 words or more goes from all documents but the first, whatever its neighbours, and nothing else does."""
+    rnd = random.Random(12)
+    count = iter(range(10 ** 6))
+    line = lambda n: " ".join(f"w{next(count)}" for _ in range(n))
+    given, want = [], {}
+    for lines, n in [(2, 25), (3, 20), (4, 15), (5, 12), (6, 10), (8, 8), (20, 12), (20, 3), (13, 4)] * 4:
+        passage = [line(n) for _ in range(lines)]
+        if rnd.random() < 0.5:
+            passage[1:1] = [""]
+        for copy in range(3):
+            before, after = ([line(rnd.choice([1, 7, 20])) for _ in range(rnd.randint(0, 4))] for _ in range(2))
+            given.append((len(given), "\n".join(before + passage + after)))
+            want[given[-1][0]] = given[-1][1] if copy == 0 else "\n".join(before + after)
+    assert {r.doc_id: r.text for r in line_chunks.line_dedup(docs(*given)).collect()} == want
+
+
+def test_passages_against_brute_force():
+    rnd = random.Random(3)
+    for _ in range(200):
+        lines = [" ".join("ab"[rnd.randrange(2)] for _ in range(rnd.choice([0, 1, 3, 9]))) for _ in range(rnd.randint(0, 30))]
+        n = [len(x.split()) for x in lines]
+        want = set()
+        for a in range(len(lines)):
+            for z in range(a + 2, len(lines) + 1):
+                total = sum(n[a:z])
+                if n[a] and n[z - 1] and total >= 12 and min(total - n[a], total - n[z - 1]) < 12 and len(set(lines[a:z]) - {""}) > 1:
+                    want.add((a, z))
+        got = line_chunks.passages(lines, 12)
+        assert got == {(a, z) for a, z in want if sum(n[a:z]) - n[z - 1] < 12 or sum(n[a:z]) - n[a] < 12}
