@@ -171,3 +171,33 @@ def test_em_recovers_accuracies():
     v = np.where(right, y[:, None], ~y[:, None]).astype(int)
     share, rates = weak_quality.em(Counter(map(tuple, v.tolist())))
     assert abs(share - 0.7) < 0.03 and np.allclose(rates[1][:, 2], acc, atol=0.03)
+
+
+def test_lm_lines_are_exact_counts(docs, monkeypatch):
+    """Every context of every model has a line of its own, however many there are, and lines hold the counts of their own context."""
+    monkeypatch.setattr(context_mixing, "HELD_KEYS", 500)
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abcdefgh é"), 300)) for _ in range(40)] + ["x" * 70 + "a", "x" * 71 + "b"]
+    frame = docs(*enumerate(texts)).select("text", (F.col("doc_id") % 4 == 0).alias("fit"))
+    got = context_mixing.context_lines(frame).collect()
+    want = {True: Counter(), False: Counter()}
+    spaces = {0, 9, 10, 11, 12, 13, 32}
+    for d, t in enumerate(texts):
+        data = bytes(context_mixing.PAD) + t.encode() + b"\xff"
+        for i in range(context_mixing.PAD, len(data)):
+            begin = max((k + 1 for k in range(i) if data[k] in spaces), default=0)
+            for context in [(o, data[i - o:i]) for o in context_mixing.ORDERS] + [("word", data[begin:i])]:
+                for half in ((*context, None, data[i] >> 4), (*context, data[i] >> 4, data[i] & 15)):
+                    want[d % 4 == 0][half] += 1
+    seen = {k[:3] for c in want.values() for k in c}
+    assert len({r.key for r in got}) == len(got) == len(seen)
+
+    def lines(kinds):
+        counts = {k: np.zeros(16) for k in seen}
+        for kind in kinds:
+            for k, n in want[kind].items():
+                counts[k[:3]][k[3]] += n
+        return Counter(context_mixing._stretched(c).tobytes() for c in counts.values())
+
+    assert Counter(bytes(r.line) for r in got) == lines([True, False])
+    assert Counter(bytes(r.fit_line) for r in got) == lines([False])
