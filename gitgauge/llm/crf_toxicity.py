@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Token labels come from document labels by grouped counts over all labelled training documents: a word speaks for toxicity if it
-stands in far more toxic documents than chance allows, and is the strongest such word of several
-toxic documents or stands beside several different ones, so the plain words of a much copied toxic text are not credited. Tokens with a credited word are labelled toxic. The field has two tags,
+Token labels come from document labels by grouped counts over all labelled training documents: a word speaks for toxicity if the
+lower bound of its share of toxic documents has ``LIFT`` times the odds of all documents, and is the strongest such word of a share of its toxic
+documents or does not stand beside one stronger word most of the time, so the plain words of a much copied toxic text are not credited.
+No number of words is set: word tables are joined, and only sampled chains reach the driver. Tokens with a credited word are labelled toxic. The field has two tags,
 features of the word and its first letters hashed to ``DIM`` weights, and a transition matrix; it is fitted by gradient descent on a
 bounded sample of chains of ``CHAIN`` tokens (parameter ``max_chains``). A text is read whole, as chains of that many tokens.
 Forward-backward gives each token's marginal; their largest logit and the logarithm of their sum are calibrated to a document score by
@@ -25,8 +26,10 @@ DIM = 1 << 18
 CHAIN = 128
 MAX_CHAINS = 4_000
 MAX_DOCS = 6_000
-MAX_LEXICON = 20_000
-Z = 4.5  # standard deviations above chance
+LIFT = 8.0  # odds of toxicity of a word over those of all documents
+CONFIDENCE = 1.96  # standard deviations from the share to its lower bound
+WINS = 0.1  # of a word's toxic documents, at least, it is the strongest word of
+ONE_BESIDE = 0.5  # of a word's toxic documents, at most, have one and the same other word as the strongest
 FOLDS = 5
 MEMO_WORDS = 700_000
 _TOKEN = re.compile(r"[^\W_]+")
@@ -214,57 +217,60 @@ def word_counts(rows):
         F.sum("y").cast("bigint").alias("n1"), F.sum(1 - F.col("y")).cast("bigint").alias("n0"))
 
 
-def lexicon(rows, limit=MAX_LEXICON):
-    """Credited words: the strongest word of two or more toxic training documents, or beside three or more such words.
-
-    At most ``limit`` words, strongest first, are sent to the executors; a language has far fewer words of this kind.
-    """
+def strong_words(rows):
+    """word, low: words whose share of toxic documents has a (Wilson) lower bound ``low`` of LIFT times the odds of all documents."""
     n1, n = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
-    if not n1 or n1 == n:
-        return {}
-    base = n1 / n
-    expected = (F.col("n1") + F.col("n0")) * base
-    z = (F.col("n1") - expected) / F.sqrt(expected * (1 - base) + 0.5)
-    strong = {r["word"]: r["z"] for r in word_counts(rows).select("word", z.alias("z"), "n1").filter(
-        (F.col("z") >= Z) & (F.col("n1") >= 2)).orderBy(F.desc("z"), "word").limit(limit).collect()}
-    shared = rows.sparkSession.sparkContext.broadcast(strong)
-
-    def winners(batches):
-        z = shared.value
+    odds = LIFT * n1 / (n - n1) if n1 < n else float("inf")
+    m, p, z2 = F.col("n1") + F.col("n0"), F.col("n1") / (F.col("n1") + F.col("n0")), CONFIDENCE ** 2
+    low = (p + z2 / 2 / m - CONFIDENCE * F.sqrt(p * (1 - p) / m + z2 / 4 / m / m)) / (1 + z2 / m)
+    least = odds / (1 + odds) if odds < float("inf") else 2.0
+    return word_counts(rows).select("word", low.alias("low")).filter((F.col("low") >= least) & (F.lit(n1) > 0))
+
+
+def document_words(rows):
+    """doc_id, h, word: distinct words of the toxic rows; h is a hash of the text."""
+    def words(batches):
         for batch in batches:
-            words, best = [], []
-            for text in batch.column("text").to_pylist():
-                own = z.keys() & set(tokens(text))
-                words += own
-                best += [max(own, key=lambda w: (z[w], w))] * len(own) if own else []
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(best, pa.string())], names=["word", "best"])
+            columns = [[], [], []]
+            for doc_id, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text"))):
+                for word in set(tokens(text)):
+                    for column, value in zip(columns, (doc_id, h, word)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["doc_id", "h", "word"])
+
+    return rows.filter("y = 1").select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(words, "doc_id bigint, h bigint, word string")
+
 
-    beside = rows.filter("y = 1").select("text").mapInArrow(winners, "word string, best string").groupBy("word", "best").count()
-    won = beside.groupBy("word").agg(
-        F.sum(F.when(F.col("word") == F.col("best"), F.col("count"))).alias("wins"), F.count(F.lit(1)).alias("kinds"),
-    ).filter((F.col("wins") >= 2) | (F.col("kinds") >= 3))
-    return {r["word"]: strong[r["word"]] for r in won.collect()}
+def lexicon(rows):
+    """doc_id, h, word: the credited words of each toxic training document, however many there are."""
+    held = written(document_words(rows).join(strong_words(rows), "word"), "strong")
+    best = held.groupBy("doc_id", "h").agg(F.max(F.struct("low", "word"))["word"].alias("best"))
+    beside = held.join(best, ["doc_id", "h"]).groupBy("word", "best").count()
+    # one row a word and best word
+    credited = beside.groupBy("word").agg(
+        F.sum("count").alias("n"), F.sum(F.when(F.col("word") == F.col("best"), F.col("count")).otherwise(0)).alias("wins"),
+        F.max(F.when(F.col("word") != F.col("best"), F.col("count")).otherwise(0)).alias("one"),
+    ).filter((F.col("wins") >= WINS * F.col("n")) | (F.col("one") <= ONE_BESIDE * F.col("n"))).select("word")
+    return held.select("doc_id", "h", "word").join(credited, "word")
 
 
 def fit(docs, labels, label_col="toxic", max_chains=MAX_CHAINS, max_docs=MAX_DOCS):
     """The fitted field. Word counts cover all labelled training rows; the field and its scale are fitted on bounded samples."""
     spark = docs.sparkSession
     rows = written(labelled(docs, labels, label_col), "labelled")
-    words = frozenset(lexicon(rows))
-    if not words:
+    own = written(lexicon(rows).groupBy("doc_id", "h").agg(F.collect_set("word").alias("known")), "credited")  # at most the words of one document
+    if own.isEmpty():
         n1, n = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
         flat = Field(np.zeros(DIM), -30.0, np.zeros((2, 2)), 0.0)
         flat.scale = (float(np.log((n1 + 0.5) / (n - n1 + 0.5))) if n else -40.0, 0.0, 0.0)
         return flat
-    shared = spark.sparkContext.broadcast(words)
 
     def chains(batches):
         import xxhash
-        known = shared.value
         for batch in batches:
-            kind, order, chain = [], [], []
-            for doc_id, text, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "y"))):
-                t = tokens(text)
+            kind, order, chain, marks = [], [], [], []
+            for doc_id, text, y, known in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "y", "known"))):
+                t, known = tokens(text), frozenset(known or ())
                 for i in range(0, len(t), CHAIN):
                     c = t[i:i + CHAIN]
                     toxic = bool(y) and not known.isdisjoint(c)
@@ -273,11 +279,14 @@ def fit(docs, labels, label_col="toxic", max_chains=MAX_CHAINS, max_docs=MAX_DOC
                     kind.append(int(toxic))
                     order.append(xxhash.xxh64_intdigest(f"{doc_id} {i}") - (1 << 63))
                     chain.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(order, pa.int64()), pa.array(chain, pa.list_(pa.string()))], names=["kind", "o", "chain"])
+                    marks.append([int(w in known) for w in c])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(kind, pa.int32()), pa.array(order, pa.int64()), pa.array(chain, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int32()))], names=["kind", "o", "chain", "marks"])
 
-    cut = rows.mapInArrow(chains, "kind int, o bigint, chain array<string>")
+    marked = rows.withColumn("h", F.xxhash64("text")).join(own, ["doc_id", "h"], "left").select("doc_id", "text", "y", "known")
+    cut = marked.mapInArrow(chains, "kind int, o bigint, chain array<string>, marks array<int>")
     sample = [r for kind in (1, 0) for r in cut.filter(F.col("kind") == kind).orderBy("o").limit(max_chains // 2).collect()]
-    field = fit_field([r["chain"] for r in sample], [[int(r["kind"] and w in words) for w in r["chain"]] for r in sample])
+    field = fit_field([r["chain"] for r in sample], [r["marks"] for r in sample])
     given = spark.sparkContext.broadcast((field.weights.astype(np.float32), field.bias, field.trans, field.start))
 
     def summaries(batches):

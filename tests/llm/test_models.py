@@ -201,3 +201,28 @@ def test_lm_lines_are_exact_counts(docs, monkeypatch):
 
     assert Counter(bytes(r.line) for r in got) == lines([True, False])
     assert Counter(bytes(r.fit_line) for r in got) == lines([False])
+
+
+def test_toxic_words_do_not_depend_on_size(spark):
+    """Ten times the rows credit the same words; slightly biased words and the words of a copied text are not credited; no number of words is set."""
+    def credited(times, insults):
+        rng = np.random.default_rng(4)
+        rows = []
+        for i in range(600 * times):
+            y = int(i % 5 == 0)
+            text = [f"plain{x}" for x in rng.integers(0, 30, 8)] + ["biased"] * int(rng.random() < (0.4 if y else 0.25))
+            if y:
+                text.append(insults[i // 5 % len(insults)])
+                text += ["copied", "template"] if i // 5 % len(insults) == 0 and i % 2 else []
+            rows.append((i, " ".join(text) + f" own{i}", y))
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string, y int")
+        return {r.word for r in crf_toxicity.lexicon(frame).select("word").distinct().collect()}
+
+    assert credited(1, ["awful", "nasty", "vile"]) == credited(10, ["awful", "nasty", "vile"]) == {"awful", "nasty", "vile"}
+
+
+def test_toxic_words_have_no_set_number(spark):
+    frame = spark.createDataFrame([(0, "", 0)], "doc_id bigint, text string, y int").unionByName(
+        spark.range(21_000 * 20).select(F.col("id").alias("doc_id"), F.concat(F.lit("insult"), (F.col("id") / 20).cast("int")).alias("text"), F.lit(1).alias("y"))).unionByName(
+        spark.range(4_000_000, 4_000_000 + 8 * 21_000 * 20).select(F.col("id").alias("doc_id"), F.lit("fine").alias("text"), F.lit(0).alias("y")))
+    assert crf_toxicity.lexicon(frame).select("word").distinct().count() == 21_000
