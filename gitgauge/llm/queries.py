@@ -6,10 +6,9 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from pyspark.sql import functions as F
-
 from . import (
-    bpe_chunks, context_mixing, crf_toxicity, language_id, line_chunks, minhash_windows, rans, simhash_bk, tput_topk, weak_quality,
+    bpe_chunks, context_mixing, crf_toxicity, language_id, line_chunks, minhash_windows, phrase_tries, rans, simhash_bk, tput_topk,
+    weak_quality,
 )
 
 _SHIPPED = set()
@@ -75,9 +74,13 @@ def op10_crf_toxicity(spark, sf_dir):
     return crf_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrase_tries(spark, sf_dir):
+    return phrase_tries.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_context_mixing, op2_tput_topk, op3_language_id, op4_minhash_windows, op5_line_chunks, op6_rans, op7_simhash_bk,
-    op8_weak_quality, op9_bpe_chunks, op10_crf_toxicity)}
+    op8_weak_quality, op9_bpe_chunks, op10_crf_toxicity, op11_phrase_tries)}
 
 TOP_K_SQL = """
 WITH v AS (
@@ -108,6 +111,37 @@ SELECT doc_id, item_id, n_contained, n_shingles, n_contained / CAST(n_shingles A
 FROM hits JOIN sizes USING (item_id) WHERE n_contained >= 0.8 * n_shingles
 """
 
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+f1 AS MATERIALIZED (SELECT lang, x, count(*) AS c FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY lang, x),
+spot AS MATERIALIZED (SELECT lang, w, unnest(range(1, len(w))) AS i FROM w),
+f2 AS MATERIALIZED (SELECT lang, w[i] AS a1, w[i + 1] AS a2, count(*) AS c FROM spot GROUP BY ALL HAVING count(*) >= 10),
+f3 AS MATERIALIZED (
+  SELECT lang, w[i] AS a1, w[i + 1] AS a2, w[i + 2] AS a3, count(*) AS c FROM spot WHERE i + 2 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+longer AS (
+  SELECT lang, a1, a2, max(c) AS c FROM (SELECT lang, a1, a2, c FROM f3 UNION ALL SELECT lang, a2, a3, c FROM f3) GROUP BY ALL),
+cuts AS (
+  SELECT f.lang, f.a1 || ' ' || f.a2 AS phrase, f.c AS a, 1 AS k, p.c AS l, q.c AS r
+  FROM f2 f JOIN f1 p ON p.lang = f.lang AND p.x = f.a1 JOIN f1 q ON q.lang = f.lang AND q.x = f.a2
+  LEFT JOIN longer g ON g.lang = f.lang AND g.a1 = f.a1 AND g.a2 = f.a2 WHERE g.c IS NULL OR 100 * g.c < 50 * f.c
+  UNION ALL
+  SELECT f.lang, f.a1 || ' ' || f.a2 || ' ' || f.a3, f.c, 1, p.c, q.c
+  FROM f3 f JOIN f1 p ON p.lang = f.lang AND p.x = f.a1 JOIN f2 q ON q.lang = f.lang AND q.a1 = f.a2 AND q.a2 = f.a3
+  UNION ALL
+  SELECT f.lang, f.a1 || ' ' || f.a2 || ' ' || f.a3, f.c, 2, p.c, q.c
+  FROM f3 f JOIN f2 p ON p.lang = f.lang AND p.a1 = f.a1 AND p.a2 = f.a2 JOIN f1 q ON q.lang = f.lang AND q.x = f.a3),
+weak AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth
+  FROM (SELECT *, CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weak WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM ranked JOIN (SELECT lang, sum(c) AS n FROM f1 GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""
+
 
 def queries():
     def bind(build):
@@ -120,4 +154,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_tput_topk": TOP_K_SQL, "op4_minhash_windows": CONTAINED_SQL}
+    return {"op2_tput_topk": TOP_K_SQL, "op4_minhash_windows": CONTAINED_SQL, "op11_phrase_tries": PHRASES_SQL}
