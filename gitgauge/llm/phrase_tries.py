@@ -32,7 +32,7 @@ from .common import parts_for, slices, written
 
 MAX_TRIE_PHRASES = 2_000_000
 PHRASES_PER_TRIE = 300_000
-SLICE = 16_000_000  # bytes of text handled at a time
+SLICE = 5_000_000  # bytes of text handled at a time
 _KIND = np.zeros(256, np.uint8)  # 0 in a word, 1 between words, 2 between pieces
 _KIND[list(b" \t")] = 1
 _KIND[list(b".,;:!?\n\v\f\r")] = 2

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe_chunks, context_mixing, crf_toxicity, language_id, line_chunks, minhash_windows, phrase_tries, rans, simhash_bk, tput_topk,
-    weak_quality,
+    weak_quality, zfast_trie,
 )
 
 _SHIPPED = set()
@@ -78,9 +78,13 @@ def op11_phrase_tries(spark, sf_dir):
     return phrase_tries.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_zfast_trie(spark, sf_dir):
+    return zfast_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_context_mixing, op2_tput_topk, op3_language_id, op4_minhash_windows, op5_line_chunks, op6_rans, op7_simhash_bk,
-    op8_weak_quality, op9_bpe_chunks, op10_crf_toxicity, op11_phrase_tries)}
+    op8_weak_quality, op9_bpe_chunks, op10_crf_toxicity, op11_phrase_tries, op13_zfast_trie)}
 
 TOP_K_SQL = """
 WITH v AS (
