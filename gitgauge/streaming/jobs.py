@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import history, requests, runlog
 from ..operators.groups import MAX_BROADCAST_ROWS
+from . import newest
 
 
 def run_available(stream: DataFrame, handler, checkpoint: str, mode="append"):
@@ -52,10 +53,12 @@ def broadcast_if_few(batch: DataFrame) -> DataFrame:
 
 def stream_hot_files(commits: DataFrame, touches: DataFrame, folder: str, n=10, threshold=4) -> DataFrame:
     """Follows commits ``(repo, commit_id, ts)`` and touches ``(commit_id, path)``, with or without repo, as two streams, and returns
-    the hot files of all that has come. A touch may come before or after its commit: they meet when they are read."""
-    known = sink_available(commits.select("repo", "commit_id", "ts"), folder, "commits")
-    touched = sink_available(touches.select(*history.touch_keys(touches), "path"), folder, "touches")
-    return history.hot_files(known.distinct(), touched, n, threshold)
+    the hot files of all that has come. A touch may come before or after its commit. What is read back is the state of the newest n
+    commits (``newest``), not the history. Rows with a null repo, commit_id or path name nothing and are left out; where touches have no
+    repo, a commit id belongs to one repository."""
+    spark, names = commits.sparkSession, history.touch_keys(touches)
+    newest.follow(commits.select("repo", "commit_id", "ts"), touches.select(*names, "path"), f"{folder}/state", n)
+    return history.hot_files(newest.held_commits(spark, f"{folder}/state"), newest.held_touches(spark, f"{folder}/state", names), n, threshold)
 
 
 def _latest_summary(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from conftest import tuples
 
 from gitgauge.operators import history
-from gitgauge.streaming import jobs
+from gitgauge.streaming import jobs, newest
 
 EVENTS = "repo string, commit_id bigint, ts timestamp_ntz, path string"
 
@@ -58,6 +58,39 @@ def test_hot_files_go_on_after_a_stop(spark, frame, tmp_path):
     assert tuples(got) == tuples(fresh) and tuples(got)
 
 
+def test_hot_state_holds_the_newest_commits_and_reads_new_files_only(spark, frame, tmp_path):
+    """Commits come newest first, then late ones; what is pushed out leaves the state with its paths, whatever came first."""
+    n, t0 = 3, datetime(2024, 1, 1)
+    rows = [("r" if i % 3 else "q", i, t0 + timedelta(minutes=i), f"f{i % 5}.ts") for i in range(120)]
+    commits, touches, state = (str(tmp_path / x) for x in ("commits", "touches", "state"))
+    seen = []
+    for part in (rows[60:], rows[:60]):
+        c = feed(spark, frame, commits, COMMITS, [[r[:3] for r in part]])
+        t = feed(spark, frame, touches, TOUCHES, [[(r[0], r[1], r[3]) for r in part]])
+        query = newest.follow(c, t, state, n, commit_salts=4, path_salts=2)
+        seen.append(sum(p["numInputRows"] for p in query.recentProgress))
+    assert seen == [120, 120]  # commits and touches of the part, not of the one before
+    held = newest.held_commits(spark, state)
+    assert held.count() <= 2 * n * 4
+    best = sorted([(r[0], r[1]) for r in rows if r[0] == "r"])[-n:] + sorted(
+        [(r[0], r[1]) for r in rows if r[0] == "q"])[-n:]
+    assert set(best) <= set(tuples(held, "repo", "commit_id"))
+    kept = tuples(newest.held_touches(spark, state, ["repo", "commit_id"]), "repo", "commit_id")
+    assert set(best) <= set(kept) <= set(tuples(held, "repo", "commit_id"))
+
+
+def test_hot_state_without_repo_nulls_and_pieces(spark, frame, tmp_path):
+    """Touches without repo; a commit of more paths than one value of the state holds; rows without a name."""
+    t0 = datetime(2024, 1, 1)
+    many = [(1, f"p{i}.ts") for i in range(2 * newest.CHUNK + 7)]
+    commits = feed(spark, frame, str(tmp_path / "c"), COMMITS, [[("r", 1, t0), ("r", 1, t0), (None, 2, t0), ("r", None, t0), ("r", 3, None)]])
+    touches = feed(spark, frame, str(tmp_path / "t"), "commit_id bigint, path string", [many, many[:5] + [(1, None), (None, "x"), (3, "y")], [(9, "waits")]])
+    newest.follow(commits, touches, str(tmp_path / "state"), 2)
+    assert tuples(newest.held_commits(spark, str(tmp_path / "state")), "repo", "commit_id") == [("r", 1), ("r", 3)]
+    held = newest.held_touches(spark, str(tmp_path / "state"), ["commit_id"])
+    assert tuples(held.distinct()) == sorted([*many, (3, "y"), (9, "waits")], key=repr)
+
+
 class Client:
     def generate(self, prompt, tier, max_tokens, temperature):
         if "broken" in prompt:
