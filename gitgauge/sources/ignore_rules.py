@@ -42,8 +42,27 @@ def _as_regex(body):
     return out
 
 
+def _plain(body):
+    """An unescaped rule without glob signs, as the text it stands for."""
+    for written, stand_in, literal in _ESCAPED:
+        body = F.replace(body, F.lit(stand_in), F.lit(literal[1:]))
+    return body
+
+
+def _kind(body, anchored):
+    """What a path must have to be worth a look, as one text: ``n:`` a last segment, ``e:`` the end of the last segment after its last
+    dot, ``p:`` a whole path below the folder of the rule, ``g:`` anything (a true glob)."""
+    literal = ~F.rlike(body, F.lit(r"[*?\[]"))
+    ending = F.substr(body, F.lit(2))
+    by_end = ~anchored & body.startswith("*.") & ~F.rlike(ending, F.lit(r"[*?\[]"))
+    return (
+        F.when(literal & anchored, F.concat(F.lit("p:"), _plain(body))).when(literal, F.concat(F.lit("n:"), _plain(body)))
+        .when(by_end, F.concat(F.lit("e:"), F.substring_index(_plain(ending), ".", -1))).otherwise(F.lit("g:"))
+    )
+
+
 def parsed_rules(content):
-    """Array of struct(regex, keep, dir_only) of an ignore file, in file order. A malformed rule matches nothing."""
+    """Array of struct(key, ending, regex, keep, dir_only) of an ignore file, in file order. A malformed rule matches nothing."""
 
     def rule(line):
         t = F.rtrim(F.regexp_replace(line, r"\r$", ""))
@@ -51,10 +70,12 @@ def parsed_rules(content):
         t = F.when(keep, F.substr(t, F.lit(2))).otherwise(t)
         dir_only = t.endswith("/")
         body = F.regexp_replace(t, "/+$", "")
-        anchored = F.contains(body, F.lit("/"))
-        body = _unescaped(F.regexp_replace(body, "^/+", ""))
+        anywhere = F.regexp_replace(body, r"^/?\*\*/(?=[^/]+$)", "")  # **/name is name
+        anchored = F.contains(anywhere, F.lit("/"))
+        body = _unescaped(F.regexp_replace(anywhere, "^/+", ""))
         start = F.when(anchored, F.lit("^")).otherwise(F.lit("^(?:.*/)?"))
-        return F.struct(F.concat(start, _as_regex(body), F.lit("$")).alias("regex"), keep.alias("keep"),
+        return F.struct(_kind(body, anchored).alias("key"), _plain(F.substr(body, F.lit(2))).alias("ending"),
+                        F.concat(start, _as_regex(body), F.lit("$")).alias("regex"), keep.alias("keep"),
                         dir_only.alias("dir_only"), ((F.length(body) > 0) & _sound(body)).alias("real"))
 
     written = F.filter(text.lines_of(content), lambda x: (F.length(text.trimmed(x)) > 0) & ~x.startswith("#"))
@@ -68,33 +89,37 @@ def ignore_files_of(contents: DataFrame, name=".gitignore") -> DataFrame:
     return found.select("repo", F.when(folder == ".", F.lit("")).otherwise(folder).alias("folder"), "content")
 
 
+def _above(path):
+    """All folders above a path, the root as ''."""
+    segments = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(segments) - 1), lambda n: F.array_join(F.slice(segments, F.lit(1), n), "/"))
+
+
 def apply_ignore_files(files: DataFrame, ignore_files: DataFrame) -> DataFrame:
     """Files that no rule of ``ignore_files(repo, folder, content)`` hides; ``folder`` is ``''`` at the root.
 
-    Rules meet files by an equi-join on (repo, folder), never rules times files. The rules of one ignore file travel as
-    one array, and the verdicts of a file are folded by aggregates.
+    Each folder is judged once, whatever is in it. Rules are rows under the key that a path must have: a literal name, the end of
+    a name, or a whole path. Paths bring their keys, so rules and paths meet by one equi-join on (repo, folder of the rule, key);
+    only true globs are tried as patterns on all that is below their folder. The rule that decides is a maximum.
     """
-    rules = ignore_files.select("repo", "folder", parsed_rules("content").alias("rules"))
-    segments = F.split("path", "/")
-    level = F.sequence(F.lit(0), F.size(segments) - 1)
+    rules = ignore_files.select("repo", "folder", F.posexplode(parsed_rules("content")).alias("at", "rule")).select(
+        "repo", "folder", "at", "rule.*").drop("real")
+    folders = files.select("repo", F.explode(_above(F.col("path"))).alias("path")).filter("path <> ''").distinct().withColumn("is_folder", F.lit(True))
+    nodes = folders.unionByName(files.select("repo", "path", F.lit(False).alias("is_folder")))
+    last = F.substring_index("path", "/", -1)
+    below = F.when(F.col("folder") == "", F.col("path")).otherwise(F.substr("path", F.length("folder") + 2))
+    keys = F.array(F.concat(F.lit("n:"), last), F.concat(F.lit("e:"), F.substring_index(last, ".", -1)), F.concat(F.lit("p:"), F.col("below")), F.lit("g:"))
     reached = (
-        files.select("repo", "path", segments.alias("s"), F.explode(level).alias("above"))
-        .withColumn("folder", F.array_join(F.slice("s", F.lit(1), F.col("above")), "/"))
-        .join(rules, ["repo", "folder"])
-    )
-    # each folder on the way down to the file, and the file itself, is judged on its own
-    steps = reached.withColumn("upto", F.explode(F.sequence(F.col("above") + 1, F.size("s"))))
-    below = F.array_join(F.slice("s", F.col("above") + 1, F.col("upto") - F.col("above")), "/")
-    verdict = F.aggregate(
-        "rules", F.lit(None).cast("boolean"),
-        lambda acc, r: F.when(F.rlike(F.col("below"), r.regex) & (~r.dir_only | F.col("is_folder")), ~r.keep).otherwise(acc),
+        nodes.withColumn("folder", F.explode(_above(F.col("path"))))
+        .join(rules.select("repo", "folder").distinct(), ["repo", "folder"], "left_semi")
+        .withColumn("below", below).withColumn("key", F.explode(keys))
     )
+    kind = F.left("key", F.lit(2))
+    fits = F.when(kind == "g:", F.rlike("below", F.col("regex"))).when(kind == "e:", F.endswith("below", F.col("ending"))).otherwise(True)
     judged = (
-        steps.withColumn("below", below).withColumn("is_folder", F.col("upto") < F.size("s"))
-        .select("repo", "path", "upto", "above", verdict.alias("hide")).filter(F.col("hide").isNotNull())
-    )
-    hidden = (
-        judged.groupBy("repo", "path", "upto").agg(F.max_by("hide", "above").alias("hide"))
-        .filter("hide").select("repo", "path").distinct()
+        reached.join(rules, ["repo", "folder", "key"]).filter((~F.col("dir_only") | F.col("is_folder")) & fits)
+        .groupBy("repo", "path").agg(F.max(F.struct(F.length("folder").alias("deep"), "at", (~F.col("keep")).alias("hide"))).alias("v"))
     )
-    return files.join(hidden, ["repo", "path"], "left_anti")
+    hidden = judged.filter("v.hide").select("repo", F.col("path").alias("gone"))
+    ways = files.select("repo", "path", F.explode(F.concat(_above(F.col("path")), F.array("path"))).alias("gone"))
+    return files.join(ways.join(hidden, ["repo", "gone"]).select("repo", "path").distinct(), ["repo", "path"], "left_anti")
