@@ -21,6 +21,9 @@ Nulls: a null text is an empty one, a null language is ``und``; ids are not read
 empty tables give no rows. Other columns are ignored.
 """
 
+import pickle
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -130,7 +133,7 @@ class Trie:
         named = pa.array(lang, pa.string()).dictionary_encode()
         vocabulary = len(words.dictionary)
         symbols = np.vstack([named.indices.to_numpy(zero_copy_only=False) + vocabulary, codes]).astype(np.int64)
-        slots = _Slots(2 * n * (len(columns) + 1) + vocabulary + len(named.dictionary) + 1024)
+        slots = _Slots()
         state = np.zeros(n, np.int64)
         for level in symbols:
             there = np.flatnonzero(level >= 0)
@@ -175,13 +178,11 @@ class Trie:
             yield place, state
 
     def dumps(self):
-        import pickle
-        return pickle.dumps((self.words, self.langs, self.base, self.check, self.accept))
+        return zlib.compress(pickle.dumps((self.words, self.langs, self.base, self.check, self.accept)), 1)
 
     @staticmethod
     def loads(data):
-        import pickle
-        return Trie(*pickle.loads(data))
+        return Trie(*pickle.loads(zlib.decompress(data)))
 
 
 class _Slots:
@@ -190,21 +191,26 @@ class _Slots:
     WIDE = 256  # nodes of more children go behind all others, where nothing is in their way
     TRIES = 64
 
-    def __init__(self, size):
-        self.base, self.check = np.full(size, _DONE, np.int32), np.full(size, -1, np.int32)
+    def __init__(self):
+        self.base, self.check = np.full(1024, _DONE, np.int32), np.full(1024, -1, np.int32)
         self.check[0] = 0  # the root's own place
-        self.size, self.end = size, 1
-        self.random = np.random.default_rng(size)
+        self.end, self.used = 1, 1
+        self.random = np.random.default_rng(1)
 
     def _reach(self, size):
+        self._room(size)
+        self.end = max(self.end, size)
+
+    def _room(self, size):
         if size > len(self.base):
-            more = max(size, 2 * len(self.base)) - len(self.base)
+            more = max(size, len(self.base) + (len(self.base) >> 2)) - len(self.base)
             self.base = np.append(self.base, np.full(more, _DONE, np.int32))
             self.check = np.append(self.check, np.full(more, -1, np.int32))
-        self.end = max(self.end, size)
 
     def place(self, parent, symbol):
         """Places for edges sorted by parent, then symbol."""
+        self.used += len(parent)
+        self._room(2 * self.used)  # half empty, so that random places fit
         out = np.empty(len(parent), np.int64)
         first = np.flatnonzero(np.append(True, parent[1:] != parent[:-1]))
         size = np.diff(np.append(first, len(parent)))

@@ -7,11 +7,12 @@ import tempfile
 from pyspark.sql import functions as F
 
 from . import (
-    bpe_chunks, context_mixing, crf_toxicity, language_id, line_chunks, minhash_windows, phrase_tries, rans, simhash_bk, tput_topk,
+    bpe_chunks, chat_tree, context_mixing, crf_toxicity, language_id, line_chunks, minhash_windows, phrase_tries, rans, simhash_bk, tput_topk,
     weak_quality, zfast_trie,
 )
 
 _SHIPPED = set()
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
 def tokenizer_path(name="word_bpe_49k.json"):
@@ -78,13 +79,18 @@ def op11_phrase_tries(spark, sf_dir):
     return phrase_tries.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_chat_tree(spark, sf_dir):
+    probe = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id bigint, turn bigint, role string, text string")
+    return chat_tree.chat_digests(table(spark, sf_dir, "conversations").select(*probe.columns).unionByName(probe))
+
+
 def op13_zfast_trie(spark, sf_dir):
     return zfast_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_context_mixing, op2_tput_topk, op3_language_id, op4_minhash_windows, op5_line_chunks, op6_rans, op7_simhash_bk,
-    op8_weak_quality, op9_bpe_chunks, op10_crf_toxicity, op11_phrase_tries, op13_zfast_trie)}
+    op8_weak_quality, op9_bpe_chunks, op10_crf_toxicity, op11_phrase_tries, op12_chat_tree, op13_zfast_trie)}
 
 TOP_K_SQL = """
 WITH v AS (
@@ -146,6 +152,21 @@ SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
 FROM ranked JOIN (SELECT lang, sum(c) AS n FROM f1 GROUP BY lang) USING (lang) WHERE rank <= 2000
 """
 
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (
+  SELECT *, length(regexp_replace(text, '(<)(\\*)(/?s>|</?SYS>>)|(\[)(\\*)(/?(?:INST|ROLE)\])', '\1\4\\\2\5\3\6', 'g')) AS inner_chars,
+    length(regexp_replace(role, '(<)(\\*)(/?s>|</?SYS>>)|(\[)(\\*)(/?(?:INST|ROLE)\])', '\1\4\\\2\5\3\6', 'g')) AS name_chars
+  FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  CAST(sum(inner_chars + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 19 ELSE 17 + name_chars END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 
 def queries():
     def bind(build):
@@ -158,4 +179,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_tput_topk": TOP_K_SQL, "op4_minhash_windows": CONTAINED_SQL, "op11_phrase_tries": PHRASES_SQL}
+    return {"op2_tput_topk": TOP_K_SQL, "op4_minhash_windows": CONTAINED_SQL, "op11_phrase_tries": PHRASES_SQL, "op12_chat_tree": CHAT_SQL}

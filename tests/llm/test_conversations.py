@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import pyarrow.parquet as pq
 import pytest
+from gitgauge.llm import chat_tree
 from gitgauge.llm import turns as turn_paths
 from gitgauge.llm import zfast_trie
 from gitgauge.llm.queries import table
@@ -20,7 +21,7 @@ def talks(spark):
 
 
 def in_order(rows):
-    convs = defaultdict(list)
+    convs = defaultdict(list)  # ties: the tests keep to texts that differ in their first 100 characters
     for c, turn, role, text in rows:
         if c is not None:
             convs[c].append((turn is not None, turn or 0, role or "", text or ""))
@@ -110,3 +111,77 @@ def test_places_and_path_hashes_do_not_depend_on_partitions(spark, talks):
     assert all(r[1] == r[2] - 1 for r in found[0])
     assert all(r[5:] == (at[r[0], r[2] - 1][3:5] if r[2] > 1 else (0, 0)) for r in found[0])
     assert len({r[3:5] for r in found[0]}) == 900 + 3  # the short ones share their paths
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def brute_chat(rows):
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256); a conversation without an id is one, too."""
+    some = in_order([(c, *r) for c, *r in rows if c is not None])
+    none = in_order([(0, *r) for c, *r in rows if c is None])
+    out = []
+    for c, seq in [*some.items(), *[(None, s) for s in none.values()]]:
+        learned = "".join(t for r, t in seq if r == "assistant")
+        out.append((c, len(seq), sha("".join(f"{r}\n{t}\n" for r, t in seq)), len(learned), sha(learned)))
+    return sorted(out, key=str)
+
+
+MARKS = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]", "<\\s>", "[\\\\/INST]", "\\", "<", "[", "é\U0001f600", " ", "\n", "x"]
+
+
+def chats(seed, n=40):
+    rng = random.Random(seed)
+    rows = []
+    for c in range(n):
+        for t in range(rng.choice([1, 2, 3, 9])):
+            rows.append((c, t, rng.choice(["user", "assistant", "assistant", "system", None, "to[/ROLE]ol", ""]),
+                         "".join(rng.choice(MARKS) for _ in range(rng.choice([0, 1, 1, 6]))) if t > 1 else rng.choice(["hi", "</s>", None])))
+    return rows + [(None, 1, "assistant", "b"), (None, None, "user", "a"), (7, 2, "user", "tie"), (7, 2, "user", "tie"), (99, 0, "assistant", "y" * 300_000)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chat_comes_back_as_it_was(talks, seed):
+    rows = chats(seed)
+    got = chat_tree.chat_digests(talks(rows)).collect()
+    assert sorted([tuple(r)[:5] for r in got], key=str) == brute_chat(rows)
+
+
+def test_marks_survive_and_are_broken_in_texts(talks, spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(MARKS) for _ in range(rng.randrange(12))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for text, out in df.select("t", chat_tree.escaped(df["t"])).collect():
+        assert chat_tree.unescaped(out) == text
+        assert not any(m in out for m in MARKS[:8])
+
+
+def test_tree_emits_shared_turns_once_and_depth_first(talks):
+    rows = [r for r in chats(4) if r[0] is not None] + [(c, t, "user", f"deep {t if t < 150 else c * 1000 + t}") for c in (500, 501) for t in range(200)]
+    stream, links = chat_tree.prefix_tree(talks(rows))
+    nodes = {r["start"]: r for r in stream.collect()}
+    assert len({tuple(s[:d]) for s in in_order(rows).values() for d in range(1, len(s) + 1)}) == len(nodes)
+    order = sorted(nodes)
+    assert order[0] == 0 and all(nodes[a]["size"] + a == b for a, b in zip(order, order[1:]))
+    path = defaultdict(dict)
+    for r in links.collect():
+        path[r["conv"]][r["pos"]] = r["start"]
+    for conv, seq in in_order(rows).items():
+        starts = [path[conv][i + 1] for i in range(len(seq))]
+        assert [chat_tree.parsed(nodes[s]["piece"]) for s in starts] == seq
+        for i, s in enumerate(starts):
+            node = nodes[s]
+            assert node["depth"] == i + 1 and node["position"] == sum(nodes[a]["size"] for a in starts[:i])
+            opened = i // chat_tree.BLOCK * chat_tree.BLOCK
+            assert node["context"] == (starts[opened - 1] if opened else None)
+            assert {x for f, t in node["attends"] for x in (f, t)} <= set(order) | {a + nodes[a]["size"] for a in order}
+            assert sorted(x for f, t in node["attends"] for x in order if f <= x < t) == sorted(starts[opened:i])
+            assert all(a[1] < b[0] for a, b in zip(node["attends"], node["attends"][1:]))
+            assert (node["loss_from"] is not None) == (seq[i][0] == "assistant")
+    first_block = [nodes[s]["depth"] for s in order if nodes[s]["depth"] <= chat_tree.BLOCK]
+    assert all(b <= a + 1 for a, b in zip(first_block, first_block[1:]))  # depth first: one step down at a time
+
+
+def test_chat_of_nothing(talks):
+    assert chat_tree.chat_digests(talks([])).collect() == []
