@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import blocks, cache, corpus, health, history, links, requests, runlog, scan
 from ..sources import ignore_rules, settings, specs
-from . import streams
+from . import disk, streams
 from .context import build_context
 from .views import Tables
 
@@ -132,6 +132,8 @@ VIEW_QUERIES = {
     "file_inventory": lambda t: scan.file_inventory(t.files()),
     "ignore_filter": lambda t: scan.ignore_filter(t.files()).select("repo", "path"),
     "ignore_files": lambda t: ignore_rules.apply_ignore_files(scan.file_inventory(t.files()), _ignore_files(t)),
+    "disk_listing": lambda t: disk.listed_files(t.spark, disk.tree_of(t, _ignore_files(t))).select("repo", "path", "size"),
+    "disk_scan": lambda t: disk.scan_disk(t.spark, disk.tree_of(t, _ignore_files(t))).select("repo", "path", "score", "rank", "content"),
     "commit_touches": _history_text,
     "run_log_parse": lambda t: runlog.run_log_parse(t.run_log()),
     "settings_resolve": lambda t: settings.settings_resolve(t.settings()),

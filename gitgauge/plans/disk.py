@@ -1,22 +1,19 @@
 """The scan of repositories on disk, from a folder to the text of the best files."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..functions import paths
 from ..operators import scan
-from ..session import written
-from ..sources import ignore_rules, inventory
+from ..session import shared_dir, written
+from ..sources import inventory
 
 
-def listed_files(spark: SparkSession, root: str, include_hidden=False, levels=1, ignore_name=".gitignore") -> DataFrame:
-    """Files below ``root`` (one folder per repository) that none of the ignore files found there hides.
+def listed_files(spark: SparkSession, root: str, include_hidden=False, ignore_name=".gitignore") -> DataFrame:
+    """Files below ``root`` (one folder per repository) that none of the ignore files found there hides, listed once.
 
-    The listing is computed once; ignore files are hidden files themselves and are read whatever ``include_hidden`` says.
+    Ignore files are hidden files themselves and are read whatever ``include_hidden`` says.
     """
-    every = written(inventory.list_files(spark, root, include_hidden=True, levels=levels), "listing")
-    named = every.filter(paths.basename() == ignore_name).select("repo", "path")
-    rules = ignore_rules.ignore_files_of(inventory.read_content(named, root), ignore_name)
-    return ignore_rules.apply_ignore_files(every if include_hidden else every.filter(~paths.is_hidden()), rules)
+    return written(inventory.walk(spark, root, None, include_hidden, ignore_name), "listed")
 
 
 def scan_disk(spark: SparkSession, root: str, max_files=100, **options) -> DataFrame:
@@ -24,3 +21,12 @@ def scan_disk(spark: SparkSession, root: str, max_files=100, **options) -> DataF
     only the selected files are opened. ``options`` are those of ``listed_files``."""
     best = scan.adaptive_top_n(listed_files(spark, root, **options), max_files)
     return best.join(inventory.read_content(best.select("repo", "path"), root), ["repo", "path"])
+
+
+def tree_of(t, ignore_files: DataFrame) -> str:
+    """The files of ``t.files()`` with their whole text as a tree of folders in the shared folder, ignore files among them."""
+    root = shared_dir(t.spark, "tree")
+    rules = ignore_files.select("repo", F.when(F.col("folder") == "", F.lit(".gitignore")).otherwise(F.concat("folder", F.lit("/.gitignore"))).alias("path"),
+                                "content")
+    inventory.write_tree(t.files().filter("repo IS NOT NULL").select("repo", "path", "content").unionByName(rules), root)
+    return root

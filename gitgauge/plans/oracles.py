@@ -266,6 +266,12 @@ def oracle_sql():
         WHERE NOT starts_with(path, 'docs/')
           AND NOT (path LIKE '%.sol' AND path NOT LIKE 'a/b/c/d/e/f/contracts/Token1%.sol')
           AND NOT (path LIKE 'src/lib/%.test.ts') AND NOT (path LIKE 'src/components/%1.tsx')""")
+    on_disk = """FROM files WHERE repo IS NOT NULL AND NOT regexp_matches(path, '(^|/)\\.') AND NOT starts_with(path, 'docs/')
+    AND NOT (path LIKE '%.sol' AND path NOT LIKE 'a/b/c/d/e/f/contracts/Token1%.sol')
+    AND NOT (path LIKE 'src/lib/%.test.ts') AND NOT (path LIKE 'src/components/%1.tsx'))"""
+    not_hidden = "FROM files WHERE NOT regexp_matches(path, '(^|/)\\.'))"
+    sql["disk_listing"] = _with(FILES.replace(not_hidden, on_disk), "SELECT repo, path, CAST(strlen(coalesce(content, '')) AS BIGINT) AS size FROM listed")
+    sql["disk_scan"] = _with(SELECTED.replace(not_hidden, on_disk), "SELECT repo, path, score, rank, coalesce(content, '') AS content FROM selected")
     sql["commit_touches"] = _with(TOUCHES, """
         SELECT commit_id, path FROM touches UNION ALL SELECT commit_id, path || '.note.md' FROM touches""")
     sql["run_log_parse"] = _with(RUN_LOG, """

@@ -95,17 +95,15 @@ def _above(path):
     return F.transform(F.sequence(F.lit(0), F.size(segments) - 1), lambda n: F.array_join(F.slice(segments, F.lit(1), n), "/"))
 
 
-def apply_ignore_files(files: DataFrame, ignore_files: DataFrame) -> DataFrame:
-    """Files that no rule of ``ignore_files(repo, folder, content)`` hides; ``folder`` is ``''`` at the root.
+def hidden_nodes(nodes: DataFrame, ignore_files: DataFrame) -> DataFrame:
+    """(repo, path) of the nodes ``(repo, path, is_folder)`` that the rules hide, each judged by itself.
 
-    Each folder is judged once, whatever is in it. Rules are rows under the key that a path must have: a literal name, the end of
-    a name, or a whole path. Paths bring their keys, so rules and paths meet by one equi-join on (repo, folder of the rule, key);
-    only true globs are tried as patterns on all that is below their folder. The rule that decides is a maximum.
+    Rules are rows under the key that a path must have: a literal name, the end of a name, or a whole path. Paths bring their keys, so
+    rules and paths meet by one equi-join on (repo, folder of the rule, key); only true globs are tried as patterns on all that
+    is below their folder. The rule that decides is a maximum.
     """
     rules = ignore_files.select("repo", "folder", F.posexplode(parsed_rules("content")).alias("at", "rule")).select(
         "repo", "folder", "at", "rule.*").drop("real")
-    folders = files.select("repo", F.explode(_above(F.col("path"))).alias("path")).filter("path <> ''").distinct().withColumn("is_folder", F.lit(True))
-    nodes = folders.unionByName(files.select("repo", "path", F.lit(False).alias("is_folder")))
     last = F.substring_index("path", "/", -1)
     below = F.when(F.col("folder") == "", F.col("path")).otherwise(F.substr("path", F.length("folder") + 2))
     keys = F.array(F.concat(F.lit("n:"), last), F.concat(F.lit("e:"), F.substring_index(last, ".", -1)), F.concat(F.lit("p:"), F.col("below")), F.lit("g:"))
@@ -120,6 +118,14 @@ def apply_ignore_files(files: DataFrame, ignore_files: DataFrame) -> DataFrame:
         reached.join(rules, ["repo", "folder", "key"]).filter((~F.col("dir_only") | F.col("is_folder")) & fits)
         .groupBy("repo", "path").agg(F.max(F.struct(F.length("folder").alias("deep"), "at", (~F.col("keep")).alias("hide"))).alias("v"))
     )
-    hidden = judged.filter("v.hide").select("repo", F.col("path").alias("gone"))
+    return judged.filter("v.hide").select("repo", "path")
+
+
+def apply_ignore_files(files: DataFrame, ignore_files: DataFrame) -> DataFrame:
+    """Files that no rule of ``ignore_files(repo, folder, content)`` hides, nor any folder above them; ``folder`` is ``''`` at the root.
+    Each folder is judged once, whatever is in it."""
+    folders = files.select("repo", F.explode(_above(F.col("path"))).alias("path")).filter("path <> ''").distinct().withColumn("is_folder", F.lit(True))
+    nodes = folders.unionByName(files.select("repo", "path", F.lit(False).alias("is_folder")))
+    hidden = hidden_nodes(nodes, ignore_files).withColumnRenamed("path", "gone")
     ways = files.select("repo", "path", F.explode(F.concat(_above(F.col("path")), F.array("path"))).alias("gone"))
     return files.join(ways.join(hidden, ["repo", "gone"]).select("repo", "path").distinct(), ["repo", "path"], "left_anti")

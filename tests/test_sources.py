@@ -34,6 +34,48 @@ def test_listing_does_not_depend_on_how_it_is_cut(spark, tree, levels):
         inventory.list_files(spark, tree), "repo", "path")
 
 
+def test_missing_and_empty_roots(spark, tmp_path):
+    for read in (lambda r: inventory.list_files(spark, r).collect(), lambda r: inventory.walk(spark, r).collect()):
+        with pytest.raises(Exception, match="no folder of repositories at"):
+            read(str(tmp_path / "nowhere"))
+        (tmp_path / "empty").mkdir(exist_ok=True)
+        assert read(str(tmp_path / "empty")) == []
+
+
+def test_hidden_folders_are_not_entered(spark, tree, tmp_path):
+    """A folder that cannot be listed would be an error, so it is not even looked into."""
+    entered = []
+    real = inventory._children
+    reader = inventory.RepoFilesReader({"path": tree, "levels": "0"})
+    inventory._children = lambda system, folder: entered.append(folder) or real(system, folder)
+    try:
+        [list(reader.read(p)) for p in reader.partitions()]
+    finally:
+        inventory._children = real
+    assert not [f for f in entered if ".git" in f] and any(f.endswith("__tests__") for f in entered)
+
+
+def test_walk_prunes_and_agrees_with_the_rules(spark, tree, tmp_path):
+    """Ignored and hidden folders are no part of any frontier; the result is that of the rules over a full listing."""
+    for path, body in {"one/.gitignore": "node_modules/\n*.log\n!keep.log\n", "one/src/.gitignore": "gen\n!gen/x\n", "one/node_modules/deep/er/i.ts": "",
+                       "one/src/gen/x": "", "one/a.log": "", "one/src/keep.log": "", "two/deep/.gitignore": "/er/*.py\n", "two/.x/y": ""}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(body)
+    listed, real = [], inventory._listing
+    inventory._listing = lambda folders, root, single_repo=False: listed.append(tuples(folders, "repo", "path")) or real(folders, root, single_repo)
+    try:
+        got = tuples(inventory.walk(spark, tree), "repo", "path")
+    finally:
+        inventory._listing = real
+    assert got == [("one", "README.md"), ("one", "src/__tests__/_x.ts"), ("one", "src/a.ts"), ("one", "src/keep.log"), ("one", "with space+plus.py"),
+                   ("two", "b.go"), ("two", "bad.go")]
+    assert sorted(p for level in listed for _, p in level if p) == ["deep", "deep/er", "src", "src/__tests__"]
+    every = inventory.list_files(spark, tree, include_hidden=True)
+    rules = ignore_rules.ignore_files_of(inventory.read_content(every.filter("path like '%.gitignore'"), tree))
+    assert got == tuples(ignore_rules.apply_ignore_files(inventory.list_files(spark, tree), rules), "repo", "path")
+    assert tuples(inventory.walk(spark, tree + "/two", repo="x"), "repo", "path") == [("x", "b.go"), ("x", "bad.go")]
+
+
 def test_ignore_files_from_disk(spark, tree, tmp_path):
     (tmp_path / "one/.gitignore").write_text("*.md\n")
     (tmp_path / "one/src/.gitignore").write_text("__tests__/\n")
@@ -113,6 +155,24 @@ def test_odd_rules_match_as_written_or_nothing(frame, rule, hidden):
     assert "keep.log" not in kept(frame, names, root=rule + "\n*.log")  # a bad rule leaves the others in force
 
 
+@pytest.mark.parametrize("rule,paths,hidden", [
+    ("name", ["name", "a/name", "a/name/x", "names", "xname"], ["name", "a/name", "a/name/x"]),
+    ("**/name", ["name", "a/name", "a/b/name/x", "a/names"], ["name", "a/name", "a/b/name/x"]),
+    ("/**/name", ["name", "a/name"], ["name", "a/name"]),
+    ("*.test.ts", ["a.test.ts", "x/b.test.ts", "test.ts", ".test.ts", "a.ts"], ["a.test.ts", "x/b.test.ts", ".test.ts"]),
+    ("*.", ["a.", "a.b"], ["a."]),
+    ("a\\*b", ["a*b", "axb", "d/a*b"], ["a*b", "d/a*b"]),
+    ("*.\\*", ["x.*", "x.y"], ["x.*"]),
+    ("src/a.ts", ["src/a.ts", "x/src/a.ts", "src/a.ts/b"], ["src/a.ts", "src/a.ts/b"]),
+    ("/a b", ["a b", "c/a b"], ["a b"]),
+    ("n:x", ["n:x", "x"], ["n:x"]),
+])
+def test_rules_by_kind_hide_what_patterns_hide(frame, rule, paths, hidden):
+    """Literal names, endings and whole paths are met by key, and give what the pattern of the rule gives."""
+    left = kept(frame, paths, root=rule + "\n")
+    assert sorted(set(paths) - set(left)) == sorted(hidden)
+
+
 def test_deeper_ignore_files_win(frame):
     every = ["a.log", "web/a.log", "web/in/a.log", "web/in/b.log"]
     assert kept(frame, every, root="*.log", web="!a.log", web__in="a.log") == ["web/a.log"]
