@@ -302,7 +302,10 @@ def _triples(docs, sent, complete):
 
 
 def _counts(docs, sent):
-    """shard, state, n: occurrences of all phrases of the tries."""
+    """shard, state, a: occurrences of all phrases of the tries. Tasks are two for each core, since a task ships a row for each phrase it has
+    met, and what it sums by itself is not shipped."""
+    docs = docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+
     def run(batches):
         found = _loaded(sent)
         total = [np.zeros(len(t.check), np.int64) for _, t in found]
