@@ -32,12 +32,19 @@ def doc_store_fold(both: DataFrame) -> DataFrame:
     kept = both.join(current, ["repo", "commit_hash"]).filter(
         F.col("wiped_at").isNull() | (F.col("saved_at") >= F.col("wiped_at"))
     )
-    doc = F.struct("content", "saved_at", "token_count")
-    return (
-        kept.groupBy("repo", "commit_hash", "doc_type")
-        .agg(F.max_by(doc, F.struct("saved_at", "content")).alias("d"))
-        .select("repo", "doc_type", "d.content", "commit_hash", "d.saved_at", "d.token_count")
-    )
+    return newest_content(kept, ["repo", "commit_hash", "doc_type"]).select("repo", "doc_type", "content", "commit_hash", "saved_at", "token_count")
+
+
+def newest_content(rows: DataFrame, keys, at="saved_at") -> DataFrame:
+    """The newest row of each key (null is a key, too), ties by a digest of the content. Times and digests decide, so no text enters an
+    aggregate; the texts are joined to the winners afterwards."""
+    marked = rows.withColumn("_digest", F.xxhash64("content"))
+    best = marked.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(F.struct(F.col(at).alias("at"), "_digest")).alias("_best"))
+    same = [F.equal_null(k, f"_{k}") for k in keys] + [F.equal_null(at, "_best.at"), F.col("_digest") == F.col("_best._digest")]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    return marked.join(best, condition).select(*rows.columns).dropDuplicates(keys)
 
 
 def summary_store_upsert(store: DataFrame, new: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import blocks, cache, corpus, health, history, links, requests, runlog, scan
+from ..operators import blocks, cache, corpus, health, history, links, modules, requests, runlog, scan
 from ..sources import ignore_rules, settings, specs
 from . import disk, streams
 from .context import build_context
@@ -209,6 +209,9 @@ VIEW_QUERIES = {
     "link_edges": _edges,
     "external_usage": lambda t: links.external_usage(_edges(t)),
     "package_counts": lambda t: links.package_counts(links.external_usage(_edges(t))),
+    "module_graph": lambda t: modules.module_graph(t.code_files()),
+    "module_packages": lambda t: modules.module_packages(modules.module_graph(t.code_files())),
+    "module_users": lambda t: modules.module_users(modules.module_graph(t.code_files())),
     # health
     "health_checks": _checks,
     "health_score": lambda t: health.health_score(_checks(t)),

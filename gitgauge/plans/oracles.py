@@ -665,6 +665,38 @@ def oracle_sql():
         FROM steps""")
 
     # --- links
+    graph = """
+        said AS (
+          SELECT repo, path AS source, file_id AS d, unnest(CASE file_id % 16
+            WHEN 0 THEN [
+              {'spec': '../m' || (file_id + 1), 'name': '', 'target': 'src/m' || (file_id + 1) || '/index.ts', 'package': NULL},
+              {'spec': '../lib/util' || (file_id + 4), 'name': '', 'target': NULL, 'package': NULL},
+              {'spec': 'express', 'name': '', 'target': NULL, 'package': 'express'},
+              {'spec': './AuthService' || (file_id + 16) || '.js', 'name': '', 'target': 'src/services/AuthService' || (file_id + 16) || '.ts', 'package': NULL},
+              {'spec': '@/components/Button' || (file_id + 9), 'name': '', 'target': 'src/components/Button' || (file_id + 9) || '.tsx', 'package': NULL}]
+            WHEN 4 THEN [
+              {'spec': '.', 'name': 'util' || (file_id + 16), 'target': 'src/lib/util' || (file_id + 16) || '.py', 'package': NULL},
+              {'spec': '.', 'name': 'util' || (file_id + 48), 'target': 'src/lib/util' || (file_id + 48) || '.py', 'package': NULL},
+              {'spec': 'os', 'name': '', 'target': NULL, 'package': 'os'},
+              {'spec': 'src.lib.util' || (file_id + 32), 'name': '', 'target': 'src/lib/util' || (file_id + 32) || '.py', 'package': 'src'},
+              {'spec': 'numpy.linalg', 'name': 'norm', 'target': NULL, 'package': 'numpy'}]
+            WHEN 9 THEN [
+              {'spec': '@scope/kit/sub', 'name': '', 'target': NULL, 'package': '@scope/kit'},
+              {'spec': './Button' || (file_id + 16), 'name': '', 'target': 'src/components/Button' || (file_id + 16) || '.tsx', 'package': NULL},
+              {'spec': 'node:fs', 'name': '', 'target': NULL, 'package': 'fs'}]
+            WHEN 13 THEN [
+              {'spec': 'fmt', 'name': '', 'target': NULL, 'package': 'fmt'},
+              {'spec': 'github.com/org/mod/pkg', 'name': '', 'target': NULL, 'package': 'github.com/org/mod'},
+              {'spec': 'strings', 'name': '', 'target': NULL, 'package': 'strings'}] END) AS i
+          FROM files WHERE repo IS NOT NULL),
+        graph AS (
+          SELECT s.repo, s.source, s.i.spec AS spec, s.i.name AS name, f.path AS target, CASE WHEN f.path IS NULL THEN s.i.package END AS package
+          FROM said s LEFT JOIN files f ON f.repo = s.repo AND f.path = s.i.target)"""
+    sql["module_graph"] = _with(FILES + "," + graph, "SELECT * FROM graph")
+    sql["module_packages"] = _with(FILES + "," + graph, """
+        SELECT repo, package, count(DISTINCT source) AS n_files FROM graph WHERE package IS NOT NULL GROUP BY ALL""")
+    sql["module_users"] = _with(FILES + "," + graph, """
+        SELECT repo, target AS path, count(DISTINCT source) AS n_files FROM graph WHERE target IS NOT NULL GROUP BY ALL""")
     sql["link_edges"] = _with(EDGES, "SELECT * FROM edges")
     sql["external_usage"] = _with(EDGES, """
         SELECT DISTINCT target AS package, source FROM edges WHERE target_id IS NULL""")

@@ -33,6 +33,22 @@ class Tables:
             F.col("text").alias("content"), F.col("n_chars").alias("size"),
         )
 
+    def code_files(self) -> DataFrame:
+        """``files`` whose texts begin with imports of files some ids on, of files of other shapes, and of packages."""
+        d, at = F.col("file_id"), F.col("file_id") % len(PATH_SHAPES)
+
+        def code(*parts):
+            return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+        imports = (
+            F.when(at == 0, code("import a from '../m", d + 1, "'\nimport { b } from \"../lib/util", d + 4, "\"\nimport express from 'express'\n",
+                                 "export * from './AuthService", d + 16, ".js'\nimport type { C } from '@/components/Button", d + 9, "'\n"))
+            .when(at == 4, code("from . import util", d + 16, ", util", d + 48, " as u\nimport os, src.lib.util", d + 32, " as far\nfrom numpy.linalg import norm\n"))
+            .when(at == 9, code("const x = require('@scope/kit/sub')\nconst y = import('./Button", d + 16, "')\nimport 'node:fs'\n"))
+            .when(at == 13, code("package p\nimport (\n\t\"fmt\"\n\talias \"github.com/org/mod/pkg\"\n)\nimport \"strings\"\n"))
+            .otherwise(""))
+        return self.files().select("repo", "path", F.concat(imports, F.coalesce("content", F.lit(""))).alias("content"))
+
     def docs_corpus(self) -> DataFrame:
         return self.table("documents").select("doc_id", F.col("lang").alias("repo"), F.col("text").alias("content"))
 

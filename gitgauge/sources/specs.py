@@ -4,16 +4,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from ..operators.cache import newest_content
 
 
 def spec_registry(specs: DataFrame) -> DataFrame:
     """Latest spec per (repo, slug) from ``specs(repo, task, content, saved_at)``; a save replaces the older one."""
-    saved = F.struct("saved_at", "content")
-    return (
-        specs.withColumn("slug", text.slug("task")).groupBy("repo", "slug")
-        .agg(F.max(saved).alias("last"), F.count(F.lit(1)).alias("saves"))
-        .select("repo", "slug", "last.content", "last.saved_at", "saves")
-    )
+    keyed = specs.select("repo", text.slug("task").alias("slug"), "content", "saved_at")
+    saves = keyed.groupBy(F.col("repo").alias("_repo"), F.col("slug").alias("_slug")).agg(F.count(F.lit(1)).alias("saves"))
+    last = newest_content(keyed, ["repo", "slug"])
+    return last.join(saves, F.equal_null("repo", "_repo") & F.equal_null("slug", "_slug")).select("repo", "slug", "content", "saved_at", "saves")
 
 
 def spec_list(files: DataFrame) -> DataFrame:

@@ -137,17 +137,50 @@ def test_health_in_between(frame):
 
 
 def test_doc_store_on_disk(spark, frame, tmp_path):
-    store = DocStore(spark, str(tmp_path / "docs"), copy_every=3)
+    store = DocStore(spark, str(tmp_path / "docs"), buckets=4)
+    assert store.load().count() == 0
     saves = [doc("context", "h1", 1), doc("patterns", "h1", 2), doc("context", "h2", 3, "q"), doc("context", "h2", 4), doc("patterns", "h1", 5)]
-    want = {1: 1, 2: 2, 3: 3, 4: 2, 5: 2}
-    for i, save in enumerate(saves, 1):
+    for save, n in zip(saves, (1, 2, 3, 2, 2)):
         store.save(frame(DOCS, save))
-        assert store.load().count() == want[i]
+        assert store.load().count() == n
     assert tuples(store.load(), "repo", "doc_type", "commit_hash") == [("q", "context", "h2"), ("r", "patterns", "h1")]
-    store.invalidate(frame("repo string", ("r",)))
+    store.invalidate(frame("repo string", ("r",)), datetime(2024, 1, 1, 0, 6))
     assert tuples(store.load(), "repo") == [("q",)]
     store.save(frame(DOCS, doc("context", "h9", 9)))
-    assert tuples(store.load(), "repo", "commit_hash") == [("q", "h2"), ("r", "h9")]
+    want = [("q", "h2"), ("r", "h9")]
+    assert tuples(store.load(), "repo", "commit_hash") == want
+    assert tuples(store.load(frame("repo string", ("r",))), "repo", "commit_hash") == [("r", "h9")]
+    small = DocStore(spark, str(tmp_path / "small"), buckets=4)
+    small.save(store.load())
+    assert small.rows().count() == 2 < store.rows().count() and tuples(small.load(), "repo", "commit_hash") == want
+
+
+def test_two_savers_lose_nothing(spark, frame, tmp_path):
+    """Saves that overlap in time: each only adds files."""
+    import threading
+
+    stores = [DocStore(spark, str(tmp_path / "docs"), buckets=2) for _ in range(4)]
+    frames = [frame(DOCS, *[doc("context", "h", i, f"r{i}-{j}") for j in range(5)]) for i in range(4)]
+    threads = [threading.Thread(target=s.save, args=(f,)) for s, f in zip(stores, frames)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert stores[0].load().count() == 20
+
+
+def test_a_read_of_few_repositories_touches_their_buckets_only(spark, frame, tmp_path):
+    store = DocStore(spark, str(tmp_path / "docs"), buckets=16)
+    store.save(frame(DOCS, *[doc("context", "h", 1, f"r{i}") for i in range(40)]))
+    one = store.rows(frame("repo string", ("r7",)))
+    assert tuples(one, "repo") == [("r7",)]
+    scan = [n for n in one._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in n and "PartitionFilters" in n]
+    assert scan and all("PartitionFilters: [" in n and "bucket" in n.split("PartitionFilters: [")[1].split("]")[0] for n in scan)
+
+
+def test_no_text_enters_an_aggregate_with_a_sort(frame):
+    """Winners are found by time and digest; only they are looked at again."""
+    rows = frame(DOCS, doc("context", "h", 1), doc("context", "h", 2, content="b"), doc("context", "h", 2, content="b"), (None, "context", "n", "h", None, 1))
+    got = cache.newest_content(rows, ["repo", "doc_type"])
+    assert tuples(got, "repo", "content") == [("r", "b"), (None, "n")] or tuples(got, "repo", "content") == [(None, "n"), ("r", "b")]
 
 
 def test_summaries_of_a_scanned_repository_are_replaced(frame):
