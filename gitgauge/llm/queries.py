@@ -167,6 +167,40 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+TRIE_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s, c - c % 20 AS opener FROM t),
+ids4 AS (
+  SELECT c, opener, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(8 * length(s)), lambda i:
+    CAST((ascii(s[i // 8 + 1]) >> CAST(i % 8 AS INTEGER)) & 1 AS BIGINT))), lambda a, b: xor(a >> 1, CASE WHEN (xor(a, b) & 1) = 1 THEN 3988292384 ELSE 0 END))) % 4 AS h
+  FROM ids),
+mixed AS (
+  SELECT t.c, 1 AS side, pos, role, text FROM t JOIN ids4 USING (c) WHERE c = opener OR pos > h
+  UNION ALL
+  SELECT i.c, 0, pos, role, text FROM ids4 i JOIN t ON t.c = i.opener WHERE i.c <> i.opener AND pos <= h),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY side, pos) AS d FROM mixed),
+path AS (
+  SELECT c, d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY d)) AS p
+  FROM placed),
+member AS (
+  SELECT c, d, p, coalesce(lag(p) OVER (PARTITION BY c ORDER BY d), '') AS pp, words FROM path
+  UNION ALL SELECT c, 0, '', NULL, 0 FROM ids),
+node AS (
+  SELECT p, any_value(pp) AS pp, min(c) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = m), '')) AS ends_sha256
+  FROM (SELECT *, max(d) OVER (PARTITION BY c) AS m FROM member) GROUP BY p),
+kids AS (SELECT pp AS p, count(*) AS n FROM node WHERE pp IS NOT NULL GROUP BY pp),
+below AS (
+  SELECT m.p, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((x.n_convs - 1) * x.words) AS saved_tokens
+  FROM node x LEFT JOIN kids k ON k.p = x.p JOIN member m ON m.c = x.conv_id AND m.d <= x.depth GROUP BY m.p)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, x.n_convs, coalesce(k.n, 0) AS n_children,
+  CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM node x JOIN below b ON b.p = x.p LEFT JOIN kids k ON k.p = x.p LEFT JOIN node u ON u.p = x.pp
+"""
+
 
 def queries():
     def bind(build):
@@ -179,4 +213,5 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_tput_topk": TOP_K_SQL, "op4_minhash_windows": CONTAINED_SQL, "op11_phrase_tries": PHRASES_SQL, "op12_chat_tree": CHAT_SQL}
+    return {"op2_tput_topk": TOP_K_SQL, "op4_minhash_windows": CONTAINED_SQL, "op11_phrase_tries": PHRASES_SQL, "op12_chat_tree": CHAT_SQL,
+            "op13_zfast_trie": TRIE_SQL}
