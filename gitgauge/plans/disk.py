@@ -20,7 +20,8 @@ def scan_disk(spark: SparkSession, root: str, max_files=100, **options) -> DataF
     """Best files of each repository below ``root`` with their ``content``: the cap counts the files left by the ignore files, and
     only the selected files are opened. ``options`` are those of ``listed_files``."""
     best = scan.adaptive_top_n(listed_files(spark, root, **options), max_files)
-    return best.join(inventory.read_content(best.select("repo", "path"), root), ["repo", "path"])
+    texts = written(inventory.read_content(best.select("repo", "path"), root), "content")  # files are opened once, whoever reads the result
+    return best.join(texts, ["repo", "path"])
 
 
 def tree_of(t, ignore_files: DataFrame) -> str:

@@ -154,22 +154,27 @@ def walk(spark: SparkSession, root: str, repo=None, include_hidden=False, ignore
         frontier = spark.createDataFrame([(repo, "")], "repo string, path string")
     else:
         top = _listing(spark.createDataFrame([("", "")], "repo string, path string"), root, single_repo=True)
-        frontier = written(top.filter("is_folder").select(F.col("path").alias("repo"), F.lit("").alias("path")), "frontier")
+        frontier = top.filter("is_folder").select(F.col("path").alias("repo"), F.lit("").alias("path"))
     found, rules = None, None
-    while not frontier.isEmpty():
+    while frontier is not None:
         rows = written(_listing(frontier, root, bool(repo)), "listing")
         files = rows.filter("NOT is_folder").drop("is_folder")
+        found = found.unionByName(files) if found else files
         named = files.filter(paths.basename() == ignore_name)
-        new = written(ignore_rules.ignore_files_of(read_content(named, root, bool(repo)), ignore_name), "ignore-files")
-        found, rules = (found.unionByName(files), rules.unionByName(new)) if found else (files, new)
-        folders = rows.filter("is_folder")
-        if not include_hidden:
-            folders = folders.filter(~F.startswith(paths.basename(), F.lit(".")))
-        ignored = ignore_rules.hidden_nodes(folders.select("repo", "path", "is_folder"), rules)
-        frontier = written(folders.select("repo", "path").join(ignored, ["repo", "path"], "left_anti"), "frontier")
-    if found is None:
-        return spark.createDataFrame([], SCHEMA)
-    return ignore_rules.apply_ignore_files(found if include_hidden else found.filter(~paths.is_hidden()), rules)
+        n = rows.agg(F.count_if("is_folder").alias("folders"), F.count_if(~F.col("is_folder") & (paths.basename() == ignore_name)).alias("named")).first()
+        if n["named"]:
+            new = written(ignore_rules.ignore_files_of(read_content(named, root, bool(repo)), ignore_name), "ignore-files")
+            rules = rules.unionByName(new) if rules else new
+        frontier = None
+        if n["folders"]:
+            folders = rows.filter("is_folder")
+            if not include_hidden:
+                folders = folders.filter(~F.startswith(paths.basename(), F.lit(".")))
+            frontier = folders.select("repo", "path")
+            if rules:
+                frontier = frontier.join(ignore_rules.hidden_nodes(folders.select("repo", "path", "is_folder"), rules), ["repo", "path"], "left_anti")
+    listed = found if include_hidden else found.filter(~paths.is_hidden())
+    return ignore_rules.apply_ignore_files(listed, rules) if rules else listed
 
 
 def write_tree(files: DataFrame, root: str) -> int:

@@ -1,6 +1,6 @@
 """Jobs that follow commits and run logs as streams.
 
-State is Spark's own: file sinks, streaming aggregates and session windows. Where a micro-batch is handled by a function, its
+State is Spark's own: file sinks, keyed state on RocksDB, streaming aggregates and session windows. Where a micro-batch is handled by a function, its
 rows go to the folder of its number, which a replayed batch overwrites; so a replay changes nothing. What a stream has
 brought is settled when it is read, by the same operators as in batch, so the order of arrival does not matter.
 """
