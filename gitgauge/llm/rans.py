@@ -138,7 +138,7 @@ def _pack(tokenizer_path, end_id, block_tokens):
         end = int(end_id).to_bytes(4, "little")
         for whole in batches:
             for batch in slices(whole):
-                found = words.encoder(tokenizer_path).encode(batch.column("text").to_pylist())
+                found = words.encoder(tokenizer_path).encode_column(batch.column("text"))
                 for name, ids in zip(batch.column("doc_id").to_pylist(), found):
                     n = len(ids) // 4 + 1
                     if names and held + n > block_tokens:
