@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 CHUNK = 1_000  # paths in one value of the state
+WHOLE = {"tinyint", "smallint", "int", "bigint"}
 HELD = 100_000  # touches that a group holds in memory before they go to the state
 
 
@@ -26,7 +27,8 @@ def _age(c):
 
 
 class NewestCommits(StatefulProcessor):
-    """Handles rows ``(repo, commit_id, ts, path)``: a null path is a commit. ``by_repo``: touches carry their repository."""
+    """Handles rows ``(repo, commit_id, dated, ts, path)``: a null path is a commit, ``dated`` one with a time. ``by_repo``: touches carry
+    their repository. Whole numbers are never null here, since pandas would make them floating-point numbers, which the state cannot hold."""
 
     def __init__(self, n, by_repo, kinds):
         self.n, self.by_repo, self.kinds = n, by_repo, kinds
@@ -49,9 +51,9 @@ class NewestCommits(StatefulProcessor):
             is_commit = batch["path"].isna()
             commits = batch[is_commit]
             seen.update(zip(*[commits[c] for c in names]))
-            best = commits.sort_values(["ts", "commit_id"], na_position="first").groupby("repo").tail(self.n)
-            for repo, commit_id, ts in zip(best["repo"], best["commit_id"], best["ts"].astype(object)):
-                ts = None if pd.isna(ts) else ts.to_pydatetime() if hasattr(ts, "to_pydatetime") else ts
+            best = commits.sort_values(["dated", "ts", "commit_id"], na_position="first").groupby("repo").tail(self.n)
+            for repo, commit_id, dated, ts in zip(best["repo"], best["commit_id"], best["dated"], best["ts"].astype(object)):
+                ts = None if not dated or pd.isna(ts) else ts.to_pydatetime() if hasattr(ts, "to_pydatetime") else ts
                 fresh.setdefault(repo, set()).add((ts, commit_id))
             waiting.append(batch.loc[~is_commit, [*names, "path"]])
             n_waiting += len(waiting[-1])
@@ -121,6 +123,11 @@ class NewestCommits(StatefulProcessor):
         return False
 
 
+def _filled(column, kind):
+    """The column; where whole numbers are missing, 0 stands in."""
+    return F.coalesce(column, F.lit(0).cast(kind)) if kind in WHOLE else column
+
+
 def follow(commits: DataFrame, touches: DataFrame, checkpoint: str, n=10, commit_salts=16, path_salts=2):
     """Runs the state over everything that is there and returns the query. Commits ``(repo, commit_id, ts)``, touches ``(commit_id, path)``, with
     or without repo."""
@@ -129,11 +136,13 @@ def follow(commits: DataFrame, touches: DataFrame, checkpoint: str, n=10, commit
     by_repo = "repo" in touches.columns
     spread = F.pmod(F.xxhash64("commit_id"), F.lit(commit_salts)).cast("int").alias("commit_salt")
     path_spread = F.pmod(F.xxhash64("path"), F.lit(path_salts)).cast("int").alias("path_salt")
-    made = commits.select(spread, F.explode(F.array(*map(F.lit, range(path_salts)))).alias("path_salt"), "repo", "commit_id", "ts",
-                          F.lit(None).cast("string").alias("path"))
-    moved = touches.filter("path IS NOT NULL AND commit_id IS NOT NULL").select(
-        spread, path_spread, (F.col("repo") if by_repo else F.lit(None)).cast(kinds["repo"]).alias("repo"), "commit_id",
-        F.lit(None).cast(kinds["ts"]).alias("ts"), "path")
+    made = commits.select(spread, F.explode(F.array(*map(F.lit, range(path_salts)))).alias("path_salt"), "repo", "commit_id",
+                          F.col("ts").isNotNull().alias("dated"), _filled(F.col("ts"), kinds["ts"]).alias("ts"), F.lit(None).cast("string").alias("path"))
+    named = " AND ".join(f"{c} IS NOT NULL" for c in (["repo"] if by_repo else []) + ["commit_id", "path"])
+    of_repo = F.col("repo").cast(kinds["repo"]) if by_repo else _filled(F.lit(None).cast(kinds["repo"]), kinds["repo"])
+    moved = touches.filter(named).select(
+        spread, path_spread, of_repo.alias("repo"), "commit_id", F.lit(False).alias("dated"),
+        _filled(F.lit(None).cast(kinds["ts"]), kinds["ts"]).alias("ts"), "path")
     both = made.filter("commit_id IS NOT NULL AND repo IS NOT NULL").unionByName(moved)
     state = both.groupBy("commit_salt", "path_salt").transformWithStateInPandas(
         NewestCommits(n, by_repo, (kinds["repo"], kinds["commit_id"], kinds["ts"])), "none int", "Append", "None")

@@ -91,6 +91,22 @@ def test_hot_state_without_repo_nulls_and_pieces(spark, frame, tmp_path):
     assert tuples(held.distinct()) == sorted([*many, (3, "y"), (9, "waits")], key=repr)
 
 
+@pytest.mark.parametrize("by_repo", [False, True])
+def test_hot_files_of_numbered_repositories_and_times(spark, frame, tmp_path, by_repo):
+    """Numbers that a float cannot hold, next to rows that have none: touches without repo, commits without time."""
+    far = (1 << 60) + 1
+    made = [(far + i % 2, far + i, None if i < 4 else far + i // 4) for i in range(60)]
+    touched = [(repo, commit, f"f{commit % 3}.ts") for repo, commit, _ in made] + [(None, far, "lost.ts")]
+    schema, columns = "repo bigint, commit_id bigint, path string", ["repo", "commit_id", "path"] if by_repo else ["commit_id", "path"]
+    rows = frame(schema, *touched[:None if by_repo else -1]).select(*columns)
+    want = tuples(history.hot_files(frame("repo bigint, commit_id bigint, ts bigint", *made), rows, threshold=3))
+    rows.coalesce(1).write.parquet(str(tmp_path / "t"))
+    touches = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "t"))
+    commits = feed(spark, frame, str(tmp_path / "c"), "repo bigint, commit_id bigint, ts bigint", [made])
+    got = jobs.stream_hot_files(commits, touches, str(tmp_path / "out"), threshold=3)
+    assert tuples(got) == want and {r[0] for r in want} == {far, far + 1}
+
+
 class Client:
     def generate(self, prompt, tier, max_tokens, temperature):
         if "broken" in prompt:
