@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cache, requests, scan
+from ..operators.groups import broadcast_if_bounded
 from ..session import written
 
 
@@ -20,7 +21,9 @@ def build_context(files: DataFrame, heads: DataFrame, docs: DataFrame, summaries
     if use_cache:
         complete = cache.complete_doc_set(heads, docs).filter("complete").select("repo")
         todo = heads.join(complete, "repo", "left_anti")
-    files = files.join(todo.select("repo"), "repo", "left_semi")
+    # without the mark Spark would deal the texts of all files by repository before it learns how few repositories there are
+    due = todo.select("repo").distinct()
+    files = files.join(broadcast_if_bounded(due, due, 1), "repo", "left_semi")
     # the selection and the summaries are small next to the files and are read several times: each is computed once
     selected = written(scan.adaptive_top_n(scan.file_inventory(files), max_files), "selection")
     on = ["repo", "path"]

@@ -47,6 +47,18 @@ def test_big_sides_are_not_shuffled_when_the_other_is_proven_small(spark, sf_dir
     assert re.search(r"BroadcastHashJoin \[commit_id#\d+L\]", text) and "SortMergeJoin" not in text
 
 
+def test_texts_are_not_dealt_by_repository(spark, sf_dir):
+    """The whole build keeps the texts of repositories that are due where they are, however large the tables are."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = queries()["build_context"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search(r"SortMergeJoin \[repo#\d+\], \[repo#\d+\], LeftSemi", text)
+    assert re.search(r"BroadcastHashJoin \[repo#\d+\], \[repo#\d+\], LeftSemi", text)
+
+
 def test_single_column_queries_read_single_columns(spark, sf_dir):
     assert re.findall(r"ReadSchema: struct<([^>]*)>", plan(spark, sf_dir, "token_estimate")) == ["text:string,lang:string"]
 
