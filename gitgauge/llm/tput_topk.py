@@ -6,8 +6,10 @@ vectors are looked up, and the k-th of them is a cutoff t that at least k vector
 queries, and each gives all local scores of t / PARTS or more; a vector that no slice gives has a score below t. Phase three: local
 scores that are missing are looked up, sums are exact, and the k best are kept.
 
-Queries and candidates meet in cells: a slice, a block of queries and a block of candidates, all of bounded size, so a query
-meets all rows and no task holds more than one cell. Components are integers; products run in float64 while their sums stay below
+Queries and candidates meet in cells: a block of queries and a block of candidates, both of bounded size, and in phase one a slice, so a
+query meets all rows and no task holds more than one cell. Phases two and three run in cells of all slices, where what is missing is at
+hand: local scores above a share of the cutoff are many (their number grows with queries times rows) and never leave their cell, which
+gives its k best sums of t or more for each query. Components are integers; products run in float64 while their sums stay below
 2**53, and as Python integers beyond.
 
 Vectors that are null, or hold a null or a component that is not finite, and null ids take no part. Vectors of unequal length are
@@ -39,16 +41,24 @@ def vectors(table, id_col="vec_id", vector_col="embedding", scale=64):
     return raw.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~bad).select("vec_id", v.alias("v")).dropDuplicates()
 
 
-def _cells(v, is_query, width, n_query, n_cand, parts):
-    """Slices of queries and candidates, each copied to the cells where it meets the other kind."""
-    size = -(-max(1, width) // parts)
-    sliced = v.select("vec_id", F.posexplode(F.array(*[F.slice("v", p * size + 1, size) for p in range(parts)])).alias("part", "v"))
+def _size(width, parts):
+    """Dimensions of a slice."""
+    return -(-max(1, width) // parts)
+
+
+def _sliced(v, width, parts):
+    size = _size(width, parts)
+    return v.select("vec_id", F.posexplode(F.array(*[F.slice("v", p * size + 1, size) for p in range(parts)])).alias("part", "v"))
+
+
+def _cells(candidates, queries, n_query, n_cand):
+    """Rows of candidates and of queries, each copied to the cells where it meets the other kind."""
     own = F.xxhash64("vec_id")
-    cand = sliced.select("part", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("qb"),
-                         F.pmod(own, F.lit(n_cand)).cast("int").alias("cb"), "vec_id", F.lit(False).alias("query"), "v")
-    query = sliced.filter(is_query).select("part", F.pmod(own, F.lit(n_query)).cast("int").alias("qb"),
-                                           F.explode(F.sequence(F.lit(0), F.lit(n_cand - 1))).alias("cb"), "vec_id", F.lit(True).alias("query"), "v")
-    return cand.unionByName(query)
+    cand = candidates.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("qb"),
+                             F.pmod(own, F.lit(n_cand)).cast("int").alias("cb"), F.lit(False).alias("query"))
+    query = queries.select("*", F.pmod(own, F.lit(n_query)).cast("int").alias("qb"),
+                           F.explode(F.sequence(F.lit(0), F.lit(n_cand - 1))).alias("cb"), F.lit(True).alias("query"))
+    return cand.unionByName(query, allowMissingColumns=True)
 
 
 def matrix(column):
@@ -131,26 +141,41 @@ def local_lists(cells, k):
     return cells.groupBy(*_KEY).applyInArrow(best, PAIRS).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
 
 
-def above_cutoff(cells, parts):
-    """Phase two: all local scores of at least their share of the query's cutoff; a query without a cutoff takes all."""
+def above_cutoff(cells, k, size, parts):
+    """Phases two and three in cells of whole vectors: (query_id, vec_id, score), for each query and cell the k best sums of the query's cutoff
+    or more among the vectors that some slice gives; a query without a cutoff takes all."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
     def enough(table: pa.Table) -> pa.Table:
-        part, qi, ci, blocks = _cell_scores(table)
-        cut = dict(zip(table.column("vec_id").to_pylist(), table.column("cutoff").to_pylist())) if len(qi) else {}
-        q_table = table.filter(table.column("query"))
-        cut = dict(zip(q_table.column("vec_id").to_pylist(), q_table.column("cutoff").to_pylist()))
+        qi, q, ci, c = _split(table)
+        if not len(qi) or not len(ci):
+            return schema.empty_table()
+        (a, ma), (b, mb) = matrix(q.column("v")), matrix(c.column("v"))
+        cuts = q.column("cutoff").to_pylist()
         found = []
-        for first, s in blocks:
-            ids = qi[first:first + len(s)]
-            # local * parts >= t in integers is local >= ceil(t / parts)
-            t = [cut[i] if cut[i] is None else -(-cut[i] // parts) for i in ids.tolist()]
-            low = np.array([-(1 << 63) if x is None else x for x in t], object if s.dtype == object else np.float64)
-            i, j = np.nonzero((s >= low[:, None]) & (ids[:, None] != ci[None, :]))
-            found.append((ids[i], ci[j], s[i, j]))
-        if not found:
-            return _pairs(part, [], [], [])
-        return pa.concat_tables([_pairs(part, *f) for f in found])
+        for first in range(0, len(qi), 128):
+            ids, cut = qi[first:first + 128], cuts[first:first + 128]
+            local = [products((a[first:first + 128, x:x + size], ma), (b[:, x:x + size], mb)) for x in range(0, size * parts, size)]
+            given = np.zeros(local[0].shape, bool)
+            for s in local:
+                # local * parts >= t in integers is local >= ceil(t / parts)
+                low = np.array([-float("inf") if t is None else -(-t // parts) for t in cut], object if s.dtype == object else np.float64)
+                given |= (s >= low[:, None]).astype(bool)
+            i, j = np.nonzero(given & (ids[:, None] != ci[None, :]))
+            exact = object if any(s.dtype == object for s in local) else np.int64
+            score = sum(s[i, j].astype(np.int64).astype(exact) if s.dtype != object else s[i, j] for s in local)
+            reach = np.flatnonzero(np.array([x is None for x in cut])[i] | (score >= np.array([x or 0 for x in cut], exact)[i]).astype(bool))
+            i, j, score = i[reach], j[reach], score[reach]
+            if exact is object:
+                order = np.array(sorted(range(len(i)), key=lambda x: (i[x], -score[x], ci[j[x]])), np.int64)
+            else:
+                order = np.lexsort((ci[j], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k
+            found.append(pa.table([pa.array(ids[i[best]], pa.int64()), pa.array(ci[j[best]], pa.int64()), pa.array(_clamp(score[best]), pa.int64())], schema=schema))
+        return pa.concat_tables(found)
 
-    return cells.groupBy(*_KEY).applyInArrow(enough, PAIRS)
+    return cells.groupBy("qb", "cb").applyInArrow(enough, "query_id bigint, vec_id bigint, score bigint")
 
 
 def looked_up(cells, wanted, n_query, n_cand):
@@ -177,7 +202,7 @@ def looked_up(cells, wanted, n_query, n_cand):
                 out += _clamp((x.astype(object) * y.astype(object)).sum(axis=1))
         return _pairs(asked.column("part")[0].as_py(), aq, ac, out)
 
-    return cells.drop("cutoff").groupBy(*_KEY).cogroup(asked.groupBy(*_KEY)).applyInArrow(look, PAIRS)
+    return cells.groupBy(*_KEY).cogroup(asked.groupBy(*_KEY)).applyInArrow(look, PAIRS)
 
 
 def top_k(table, queries, k=20, id_col="vec_id", vector_col="embedding", parts=PARTS, n_queries=QUERIES, n_candidates=CANDIDATES):
@@ -186,7 +211,8 @@ def top_k(table, queries, k=20, id_col="vec_id", vector_col="embedding", parts=P
     total, asked, width = v.agg(
         F.count(F.lit(1)), F.coalesce(F.sum(queries.cast("long")), F.lit(0)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     n_query, n_cand = parts_for(asked, n_queries), parts_for(total, n_candidates)
-    cells = _cells(v, queries, width, n_query, n_cand, parts).withColumn("cutoff", F.lit(None).cast("bigint"))
+    sliced = _sliced(v, width, parts)
+    cells = _cells(sliced, sliced.filter(queries), n_query, n_cand)
 
     first = written(local_lists(cells, k), "lists")
     every = F.explode(F.array(*[F.lit(p) for p in range(parts)])).alias("part")
@@ -195,12 +221,8 @@ def top_k(table, queries, k=20, id_col="vec_id", vector_col="embedding", parts=P
     sums = first.unionByName(looked_up(cells, missing, n_query, n_cand)).groupBy("query_id", "vec_id").agg(F.sum("local").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     cutoffs = sums.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select(
-        F.col("query_id").alias("vec_id"), F.lit(True).alias("query"), F.col("score").alias("cutoff"))
-
-    told = cells.drop("cutoff").join(cutoffs, ["vec_id", "query"], "left")
-    enough = written(above_cutoff(told, parts), "enough")
-    counts = enough.groupBy("query_id", "vec_id").agg(F.collect_set("part").alias("have"))
-    missing = counts.filter(F.size("have") < parts).select("query_id", "vec_id", "have", every).filter(
-        ~F.array_contains("have", F.col("part"))).drop("have")
-    totals = enough.unionByName(looked_up(cells, missing, n_query, n_cand)).groupBy("query_id", "vec_id").agg(F.sum("local").alias("score"))
+        F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
+
+    told = _cells(v, v.filter(queries).join(cutoffs, "vec_id", "left"), n_query, n_cand)
+    totals = above_cutoff(told, k, _size(width, parts), parts)
     return totals.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -91,6 +91,19 @@ def test_top_k_small_tables(spark):
     assert run(*rows) == brute_top(rows, 20, 20)
 
 
+def test_top_k_cells_give_few_rows(spark):
+    """What is above a share of the cutoff stays in its cell: no cell gives more than k rows a query, also among equal vectors."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0] * 4 if i % 2 else [float(x) for x in rng.normal(size=4)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    v = tput_topk.vectors(table)
+    query = v.filter("vec_id % 10 = 0").withColumn("cutoff", F.lit(1).cast("bigint"))
+    given = tput_topk.above_cutoff(tput_topk._cells(v, query, 2, 3), 5, 2, 2)
+    assert given.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 5 * 3
+    got = tput_topk.top_k(table, F.col("vec_id") % 10 == 0, k=5, n_queries=20, n_candidates=150)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 5, 10)
+
+
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(1)
     field = crf_toxicity.Field(np.zeros(crf_toxicity.DIM), 0.0, rng.normal(size=(2, 2)), 0.3)
