@@ -8,8 +8,8 @@ so their number grows with the corpus: each task counts its texts, a shuffle on
 documents come back to it by a join with the block's distinct keys. No table passes through the driver and none is broadcast.
 A mixer adds the stretched probabilities with
 weights that are gated by bit position and by how many of the contexts were ever seen, and refines them adaptively after every bit:
-gated starting weights are fitted by all tasks together on the training documents of one fold in ``WEIGHT_FOLD``, against counts that leave
-that fold out, and each block of ``BLOCK`` bytes goes on from there on its own. Blocks keep the contexts across their borders, so they are scored
+gated starting weights are fitted on all training documents, each half of them against the counts of the other half, so that no document
+meets its own counts; blocks fit side by side in ``ROUNDS`` steps or more, and their weights are averaged. Then each block of ``BLOCK`` bytes goes on from there on its own. Blocks keep the contexts across their borders, so they are scored
 side by side and a text of any length is scored whole. score is the sum of log10 probabilities of all bits.
 
 The base score needs the exact count of every token, so documents are dealt into blocks of bounded size, the distinct words of a block
@@ -20,6 +20,7 @@ Repeated rows repeat and train as often. With no training rows all counts are ze
 gives an empty result. Other columns are ignored.
 """
 
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -41,7 +42,6 @@ SLICE = 500_000  # text mixed at once
 RATE = 0.003
 GATES = MODELS + 1
 ROUNDS = 8
-WEIGHT_FOLD = 64
 PRIOR = 0.3
 HELD_KEYS = 5_000_000  # counts or keys that a task gathers before it sends them on
 BLOCK_BYTES = 12_000_000  # text of one group in the final pass
@@ -147,22 +147,22 @@ def _binaries(lines):
 def _to_lines(batches):
     for batch in batches:
         most, fit = (np.stack([batch.column(f"{c}{i}").to_numpy() for i in range(16)], 1).reshape(-1, 16) for c in "ab")
-        yield pa.RecordBatch.from_arrays([
-            batch.column("key"), _binaries(_stretched(most + fit).reshape(-1, 16)), _binaries(_stretched(most).reshape(-1, 16))], names=["key", "line", "fit_line"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), *(_binaries(_stretched(n).reshape(-1, 16)) for n in (most + fit, most, fit))],
+                                         names=["key", "line", "fit_line", "rest_line"])
 
 
 def context_lines(docs):
-    """key, line, fit_line of every line seen in docs: stretched probabilities, 16 bytes each.
+    """key, line, fit_line, rest_line of every line seen in docs: stretched probabilities, 16 bytes each.
 
-    The first counts all rows of docs; the second leaves out the rows marked ``fit``, on which weights are then fitted without
-    having been counted.
+    The first counts all rows of docs; the second leaves out the rows marked ``fit``, the third all others: weights are fitted on the rows
+    that a line has not counted.
     """
     sums = [F.expr(f"sum(if(nibble = {i} and {test}, n, 0L))").alias(f"{c}{i}") for c, test in (("a", "not fit"), ("b", "fit")) for i in range(16)]
     # a task sends a code once or a few times, so counts need no further adding up before the shuffle; both halves of a byte are where its context is
     codes = docs.select("text", "fit").mapInArrow(_count, "code bigint, n bigint, fit boolean").withColumn("context", F.shiftrightunsigned("code", 8))
     halves = F.expr("inline(array(struct(0L as half, shiftright(code, 4) & 15 as nibble), struct((shiftright(code, 4) & 15) + 1 as half, code & 15 as nibble)))")
     return codes.repartition("context").select("context", "n", "fit", halves).groupBy("context", "half").agg(*sums).select(
-        F.expr("shiftleft(context, 8) | half").alias("key"), *[f"{c}{i}" for c in "ab" for i in range(16)]).mapInArrow(_to_lines, "key bigint, line binary, fit_line binary")
+        F.expr("shiftleft(context, 8) | half").alias("key"), *[f"{c}{i}" for c in "ab" for i in range(16)]).mapInArrow(_to_lines, "key bigint, line binary, fit_line binary, rest_line binary")
 
 
 def _block_keys(batches):
@@ -328,40 +328,55 @@ class Mixer:
         return total, moved, seen
 
 
-def fit_weights(docs, lines, rounds=ROUNDS):
-    """Gated weights: each round every task passes over its texts once; the gradients of all tasks are added up."""
-    gated = np.full((GATES, 8, MODELS), 0.35, np.float32)
-    n = parts_for(total_bytes(docs), SLICE)
-    dealt = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block")).repartition(n, "block")
+def _steps(texts, rounds):
+    """The texts in lists of SLICE bytes or less (a longer text is alone), in ``rounds`` lists or more if there are as many texts."""
+    most = min(SLICE, -(-sum(map(len, texts)) // rounds))
+    out, size = [], 0
+    for text in texts:
+        if not out or size + len(text) > most:
+            out.append([])
+            size = 0
+        out[-1].append(text)
+        size += len(text)
+    return out
 
-    def gather(given: pa.Table, group: pa.Table) -> pa.Table:
+
+def fit_weights(docs, lines, rounds=ROUNDS, block_bytes=BLOCK_BYTES):
+    """Gated weights from all of docs ``(doc_id, text, fit)``, each row once. A block takes steps over its texts against the lines of the other
+    half; the weights of all blocks are averaged, each by the bits behind it."""
+    n = parts_for(total_bytes(docs), block_bytes)
+    dealt = docs.select("text", "fit", (F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) * 2 + F.col("fit").cast("int")).alias("block")).repartition(2 * n, "block")
+    begun = np.full((GATES, 8, MODELS), 0.35, np.float32)
+
+    def step(given: pa.Table, group: pa.Table) -> pa.Table:
         keys, table = _unpacked(given.column("keys").to_pylist(), given.column("lines").to_pylist())
-        return pa.table({"texts": pa.array([group.column("text").to_pylist()], pa.list_(pa.string())), "keys": pa.array([keys.tobytes()], pa.binary()), "lines": pa.array([table.tobytes()], pa.binary())})
-
-    chosen = written(block_lines(dealt, lines, "fit_line").groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(
-        gather, "texts array<string>, keys binary, lines binary"), "weights")
-    square = np.full(gated.shape, 1e-8)
-    for _ in range(rounds):
-        start = gated
-
-        def step(batches, start=start):
-            moved, seen = np.zeros(start.shape), np.zeros(start.shape[:2])
-            for batch in batches:
-                for texts, keys, table in zip(*(batch.column(c) for c in ("texts", "keys", "lines"))):
-                    keys, table = _unpacked([keys.as_py()], [table.as_py()])
-                    _, m, s = Mixer(table, start, keys).run(*joined(texts.as_py()), learn=True)
-                    moved += m
-                    seen += s
-            yield pa.RecordBatch.from_arrays([pa.array([moved.tobytes()]), pa.array([seen.tobytes()])], names=["moved", "seen"])
-
-        moved, seen = np.zeros(gated.shape), np.zeros(gated.shape[:2])
-        for r in chosen.mapInArrow(step, "moved binary, seen binary").collect():  # a few KB a task
-            moved += np.frombuffer(r["moved"]).reshape(moved.shape)
-            seen += np.frombuffer(r["seen"]).reshape(seen.shape)
-        g = moved / np.maximum(seen, 200)[:, :, None]
-        square += g * g
-        gated = (gated + 0.12 * g / np.sqrt(square)).astype(np.float32)
-    return gated
+        mixer = Mixer(table, begun, keys)
+        square, bits = np.full(begun.shape, 1e-8), np.zeros(begun.shape[:2])
+        for texts in _steps(sorted(group.column("text").to_pylist(), key=lambda t: (zlib.crc32(t.encode("utf-8", "surrogatepass")), t)), rounds):
+            _, moved, seen = mixer.run(*joined(texts), learn=True)
+            g = moved / np.maximum(seen, 200)[:, :, None]
+            square += g * g
+            mixer.gated = (mixer.gated + 0.12 * g / np.sqrt(square)).astype(np.float32)
+            bits += seen
+        return pa.table({"weights": pa.array([mixer.gated.astype(np.float64).tobytes()], pa.binary()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    given = block_lines(dealt.filter("fit"), lines, "fit_line").unionByName(block_lines(dealt.filter("not fit"), lines, "rest_line"))
+    fitted = given.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(step, "weights binary, bits binary")
+
+    def added(batches):
+        total, bits = np.zeros(begun.shape), np.zeros(begun.shape[:2])
+        for batch in batches:
+            for w, b in zip(batch.column("weights").to_pylist(), batch.column("bits").to_pylist()):
+                own = np.frombuffer(b).reshape(bits.shape)
+                total += np.frombuffer(w).reshape(total.shape) * own[:, :, None]
+                bits += own
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([bits.tobytes()], pa.binary())], names=["weights", "bits"])
+
+    total, bits = np.zeros(begun.shape), np.zeros(begun.shape[:2])
+    for r in fitted.mapInArrow(added, "weights binary, bits binary").collect():  # a few KB a task
+        total += np.frombuffer(r["weights"]).reshape(total.shape)
+        bits += np.frombuffer(r["bits"]).reshape(bits.shape)
+    return np.where(bits[:, :, None] > 0, total / np.maximum(bits, 1)[:, :, None], begun).astype(np.float32)
 
 
 def _block_words(batches):
@@ -391,9 +406,9 @@ def lm_score(docs, id_col="doc_id", text_col="text", folds=FOLDS, held_out=HELD_
     docs = plain_docs(docs, id_col, text_col)
     fold = training_fold("doc_id", folds)
     trains = F.coalesce(fold != held_out, F.lit(False))
-    training = docs.filter(trains).withColumn("fit", F.pmod(F.xxhash64("doc_id"), F.lit(WEIGHT_FOLD)) == 0)
+    training = docs.filter(trains).withColumn("fit", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
     lines = written(context_lines(training), "lines")
-    gated = fit_weights(training.filter("fit"), lines)
+    gated = fit_weights(training, lines)
 
     n = parts_for(total_bytes(docs), BLOCK_BYTES)
     dealt = docs.select("doc_id", "text", trains.alias("trains"), F.coalesce(fold == held_out, F.lit(False)).alias("held_out"),

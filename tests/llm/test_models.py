@@ -42,6 +42,26 @@ def test_lm_learns(docs):
     assert seen and max(seen) < 1 < got[1000].bits_per_byte
 
 
+def test_lm_weights_come_from_all_training_rows(docs, monkeypatch):
+    """Every training row moves the weights, each row once, against lines that have not counted it."""
+    given = [(i, f"text number {i} of a few " * 3) for i in range(40)]
+    seen, fit = {}, context_mixing.fit_weights
+
+    def watched(rows, lines, *more):
+        seen["ids"] = {r.doc_id for r in rows.collect()}
+        return fit(rows, lines, *more)
+
+    monkeypatch.setattr(context_mixing, "fit_weights", watched)
+    context_mixing.lm_score(docs(*given)).collect()
+    assert seen["ids"] == {i for i, _ in given if held(i, 7) != 2}
+    parts = context_mixing._steps(["a" * 10] * 9 + ["b" * 100, ""], 8)
+    assert sorted(t for p in parts for t in p) == sorted(["a" * 10] * 9 + ["b" * 100, ""]) and len(parts) > 4
+    mixed = docs((0, "aaaa"), (1, "bbbb")).withColumn("fit", F.col("doc_id") == 0)
+    lines = {r.key: r for r in context_mixing.context_lines(mixed).collect()}
+    own = context_mixing.contexts(context_mixing.joined(["aaaa"])[0])[0, :, context_mixing.PAD + 2:].ravel().view(np.int64).tolist()
+    assert own and not any(any(lines[k].fit_line) for k in own) and all(lines[k].rest_line == lines[k].line for k in own)
+
+
 def test_mixer_is_a_probability():
     """The probabilities of all next bytes sum to one, and blocks do not depend on their neighbours."""
     rng = np.random.default_rng(1)
