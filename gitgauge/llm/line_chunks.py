@@ -160,7 +160,8 @@ def firsts(docs, found, id_col="doc_id", text_col="text"):
     """k1, k2, first (did, dkey, seq) of the spans in ``found`` whose bytes agree wherever their hashes do."""
     did, dkey, text = _keyed(docs, id_col, text_col)
     at = found.groupBy("did", "dkey").agg(F.collect_set(F.struct("seq", "stop", "k1", "k2")).alias("at"))  # at most three a line of one document
-    rows = docs.select(did.alias("did"), dkey.alias("dkey"), text.alias("text")).join(at, ["did", "dkey"]).mapInArrow(
+    # what repeats grows with the corpus, so it is never broadcast, however small it is here: the same plan at every size
+    rows = docs.select(did.alias("did"), dkey.alias("dkey"), text.alias("text")).join(at.hint("merge"), ["did", "dkey"]).mapInArrow(
         _bytes, "did bigint, dkey bigint, seq int, k1 bigint, k2 bigint, chunk string")
     # the text itself is a grouping column: that is the byte comparison, and copies fold before the shuffle
     same = rows.groupBy("k1", "k2", "chunk").agg(F.min(F.struct("did", "dkey", "seq")).alias("first"))
@@ -205,7 +206,7 @@ def line_dedup(docs, id_col="doc_id", text_col="text"):
     gone = gone.select(F.col("did").alias(d), F.col("dkey").alias(k), F.flatten(F.transform("spans", lambda x: F.array(x["seq"], x["stop"]))).alias(s))
     kept = [c for c in docs.columns if c != n]
     joined = docs.select(*kept).withColumns({"_ld_d": did, "_ld_k": dkey}).join(
-        gone, (F.col("_ld_d") == F.col(d)) & (F.col("_ld_k") == F.col(k)), "left")
+        gone.hint("merge"), (F.col("_ld_d") == F.col(d)) & (F.col("_ld_k") == F.col(k)), "left")
     text = F.when(F.col(s).isNotNull(), cut(F.coalesce(F.col(text_col), F.lit("")), F.col(s))).otherwise(F.col(text_col))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in kept], F.coalesce(runs(F.col(s)), F.lit(0)).alias(n))
 

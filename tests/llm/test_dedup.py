@@ -184,3 +184,10 @@ def test_passages_against_brute_force():
                     want.add((a, z))
         got = line_chunks.passages(lines, 12)
         assert got == {(a, z) for a, z in want if sum(n[a:z]) - n[z - 1] < 12 or sum(n[a:z]) - n[a] < 12}
+
+
+def test_what_repeats_is_never_broadcast(docs):
+    """It grows with the corpus, so the plan of small tables is that of large ones."""
+    text = "\n".join(f"line {i} " + "word " * 30 for i in range(4))
+    out = line_chunks.line_dedup(docs(*[(i, text) for i in range(5)]))
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
