@@ -236,6 +236,37 @@ def test_lm_lines_are_exact_counts(docs, monkeypatch):
     assert Counter(bytes(r.fit_line) for r in got) == lines([False])
 
 
+def test_lm_counts_travel_packed(docs, monkeypatch):
+    """Counts and words of a block are a row for each part, however many codes and words there are, and what a block is told of a code is what the line of its context says."""
+    monkeypatch.setattr(context_mixing, "HELD_KEYS", 3_000)
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(list("abcdefgh é"), 200)) for _ in range(30)] + ["", "word word"]
+    frame = docs(*enumerate(texts)).select("text", (F.col("doc_id") % 3).alias("block"), (F.col("doc_id") % 3 == context_mixing.FIT).alias("fit"))
+    counts = context_mixing.code_counts(frame.coalesce(1), 3).localCheckpoint()
+    assert counts.count() < 50 < 10_000 < counts.agg(F.sum("size")).first()[0]
+    lines = {r.key: np.frombuffer(r.line, np.int8) for r in context_mixing.context_lines(frame.filter(F.col("block") != context_mixing.OTHER)).collect()}
+    unseen, told = np.zeros(16, np.int8), 0
+    for r in context_mixing.block_codes(counts, lambda n, kind: n.sum(axis=0)).collect():
+        given = context_mixing._unpacked(r.lines, r["size"], "V9").view(np.int8).reshape(-1, 9)
+        for code, own in zip(context_mixing._ordered(r).tolist(), given):
+            key, byte = code >> 8 << 8, code & 255
+            pair = [lines.get(int(np.uint64(k).astype(np.int64)), unseen) for k in (key, key + (byte >> 4) + 1)]
+            want = []
+            for line, half in zip(pair, (byte >> 4, byte & 15)):
+                node = 1
+                for bit in f"{half:04b}":
+                    want.append(int(line[node]) if bit == "1" else -int(line[node]))
+                    node = 2 * node + int(bit)
+            assert own.tolist() == [*want, (pair[0][0] > 0) + 2 * (pair[1][0] > 0)]
+            told += 1
+    assert told > 10_000
+    words = context_mixing.word_counts(frame.withColumn("trains", F.col("block") != context_mixing.OTHER), 3).collect()
+    want = Counter(w for i, t in enumerate(texts) if i % 3 != context_mixing.OTHER for w in tokens_of(t))
+    got = {(r.block, w): n for r in words for w, n in zip(context_mixing._unzipped(r.words), context_mixing._unpacked(r.counts, r["size"], "<u8").tolist())}
+    assert got == {(i % 3, w): want[w] for i, t in enumerate(texts) for w in tokens_of(t)}
+    assert (sum(r.total for r in words), sum(r.distinct for r in words)) == (sum(want.values()), len(want))
+
+
 def test_toxic_words_do_not_depend_on_size(spark):
     """Ten times the rows credit the same words; slightly biased words and the words of a copied text are not credited; no number of words is set."""
     def credited(times, insults):
