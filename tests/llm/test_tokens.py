@@ -34,6 +34,15 @@ def test_pieces_agree_with_the_library(tokenizer):
     assert found == [library(tokenizer, t)[0] for t in texts]
 
 
+def test_pre_tokens_are_encoded_once(tokenizer):
+    """Words that differ in case or punctuation only ask the library for the same pre-token; a full memo changes no ids."""
+    encoder = words.Encoder(tokenizer_path())
+    texts = ["and And, and. (AND) and2and", "and's éand <|endoftext|>and and\x0band"]
+    found = encoder.encode(texts)
+    assert found == [library(tokenizer, t)[0] for t in texts]
+    assert "and" in encoder.memo and not {"And,", "and.", "(AND)", "and2and"} & set(encoder.memo)
+
+
 def test_encode_and_decode(docs, tokenizer):
     given = [(i, t) for i, t in enumerate(ODD)] + [(None, "no id"), (3, "same id"), (3, "same id")]
     got = bpe_chunks.encode_and_decode(docs(*given), tokenizer_path(), mean=8).collect()
