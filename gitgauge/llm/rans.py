@@ -75,12 +75,14 @@ class Table:
         self.symbols = np.asarray(symbols, np.uint32)
         self.freq, self.start = np.asarray(freq, np.uint64), np.asarray(starts, np.uint64)
         self.top = self.freq << np.uint64(63 - bits)
+        self.place = np.zeros(int(self.symbols.max(initial=0)) + 1, np.uint32)  # ids are bounded by the vocabulary
+        self.place[self.symbols] = np.arange(len(self.symbols), dtype=np.uint32)
         self.slots = np.repeat(np.arange(len(freq), dtype=np.uint32), np.asarray(freq, np.int64))
 
     def encode(self, ids: np.ndarray, lanes=LANES, checkpoint=CHECKPOINT):
         """(words, marks, states): the stream in decoding order, and for each checkpoint its place there and the lane states."""
         n = len(ids)
-        place = np.searchsorted(self.symbols, ids)
+        place = self.place[ids]
         state = np.full(lanes, _LOW, np.uint64)
         emitted, at_step = [], []
         every = max(1, checkpoint // lanes)
