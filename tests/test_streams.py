@@ -107,6 +107,73 @@ def test_hot_files_of_numbered_repositories_and_times(spark, frame, tmp_path, by
     assert tuples(got) == want and {r[0] for r in want} == {far, far + 1}
 
 
+class Kept(dict):
+    """A map of the state that counts what is asked of it."""
+
+    calls = 0
+
+    def getValue(self, key):
+        Kept.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        Kept.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        Kept.calls += 1
+        self.pop(key, None)
+
+
+class Handle:
+    def getMapState(self, *named):
+        return Kept()
+
+
+def pieces(is_commit, salts, table):
+    import pandas as pd
+    rows = table.select(table.column_names)
+    for i, salt in enumerate(salts):
+        rows = rows.add_column(i, salt, [[0] * table.num_rows])
+    made = [p for b in newest._packed(salts)(iter(rows.to_batches(max_chunksize=1_000))) for p in b.column("piece").to_pylist()]
+    return pd.DataFrame({"is_commit": is_commit, "piece": made})
+
+
+@pytest.mark.parametrize("held", [1_000, newest.HELD])
+def test_touches_of_commits_that_are_pushed_out_cost_no_state_calls(held):
+    """All touches come before their commits in the micro-batch, more than a group holds in memory; a second one pushes out what the first left."""
+    import pyarrow as pa
+    n, many, processor = 3, 60_000, newest.NewestCommits(3, False, ("int", "bigint", "bigint"), held)
+    processor.init(Handle())
+    Kept.calls = 0
+    for first in (0, many):
+        ids = list(range(first, first + many))
+        commits = pa.table({"repo": pa.array([i % 2 for i in ids], pa.int32()), "commit_id": ids, "ts": [None if i < 9 else i for i in ids]})
+        touches = pa.table({"commit_id": [*ids, *ids, many * 9 + first], "path": [f"{i % 5}.ts" for i in ids] * 2 + ["waits"]})
+        list(processor.handleInputRows((0, 0), iter([pieces(False, ["commit_salt", "path_salt"], touches), pieces(True, ["commit_salt"], commits)]), None))
+        best = ids[-2 * n:]
+        waits = {many * 9 + f: "waits" for f in (0, many) if f <= first}
+        assert {c: set(paths) for (c, _), (paths,) in processor.chunks.items()} == {c: {f"{c % 5}.ts"} for c in best} | {c: {p} for c, p in waits.items()}
+        assert processor.entries.keys() == {(c,) for c in [*best, *waits]}
+        assert {c for (found,) in processor.newest.values() for _, c in found} == set(best)
+    assert Kept.calls < 200
+
+
+def test_hot_state_of_repeated_commits_with_zoned_times(spark, frame, tmp_path):
+    """Commits that come again, in one micro-batch and in the next one, take one place each; what a group holds goes through a file."""
+    t0, schema = datetime(2024, 1, 1), "repo string, commit_id string, ts timestamp"
+    made = [("r", f"c{i:03}", t0 + timedelta(hours=i // 2) if i else None) for i in range(40)]
+    touched = [("r", c, f"f{i % 3}.ts") for i, (_, c, _) in enumerate(made)]
+    for part in ((20, 40), (0, 40)):
+        commits = feed(spark, frame, str(tmp_path / "c"), schema, [[r for r in made[slice(*part)] for _ in range(4)]])
+        touches = feed(spark, frame, str(tmp_path / "t"), "repo string, commit_id string, path string", [touched[slice(*part)]])
+        newest.follow(commits, touches, str(tmp_path / "state"), 6, commit_salts=2, path_salts=1, held=10)
+        held = tuples(newest.held_commits(spark, str(tmp_path / "state")))
+        assert set(made[-6:]) <= set(held) and len(held) <= 12
+        kept = newest.held_touches(spark, str(tmp_path / "state"), ["repo", "commit_id"]).distinct()
+        assert tuples(kept) == sorted((r for r in touched if r[1] in {c for _, c, _ in held}), key=repr)
+
+
 class Client:
     def generate(self, prompt, tier, max_tokens, temperature):
         if "broken" in prompt:
